@@ -34,12 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to a table in the shared folder and read it back: the lineage ends there, lost executors
     do not cause the work to be done again, and later reads prune columns. Removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cborlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(T._parse_datatype_json_string(df.schema.json())).parquet(path)
 

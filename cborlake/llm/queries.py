@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality_rules
+from . import chat, mixing, packing, quality_rules
 from .common import table
 
 
@@ -85,5 +85,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        failed_bits = 0 AS kept, failed_bits FROM b
 """
 
-QUERIES = {"op2_chat_formatting": op2_chat_formatting, "op5_source_mixing": op5_source_mixing, "op6_quality_rules": op6_quality_rules}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids are taken where the pieces are stored; only numbers are joined to the places."""
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    digests = cut.select("doc_id", "part", "row", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    places = packing.assign(cut).drop("doc_id", "start", "length")
+    return digests.join(places, ["part", "row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {"op2_chat_formatting": op2_chat_formatting, "op5_source_mixing": op5_source_mixing, "op6_quality_rules": op6_quality_rules, "op8_best_fit_packing": op8_best_fit_packing}
 SQL = {"op2_chat_formatting": OP2_SQL, "op6_quality_rules": OP6_SQL}
