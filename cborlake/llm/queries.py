@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality_rules
+from . import chat, embed_dedup, mixing, packing, quality_rules
 from .common import table
 
 
@@ -43,6 +43,28 @@ FROM parts GROUP BY conv_id
 """
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach(vec_id, other) AS (
+  SELECT a, b FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a),
+c AS (SELECT vec_id, min(other) AS least FROM reach GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(least, e.vec_id)) AS component_id,
+       least(e.vec_id, coalesce(least, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))
@@ -99,5 +121,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.join(places, ["part", "row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op2_chat_formatting": op2_chat_formatting, "op5_source_mixing": op5_source_mixing, "op6_quality_rules": op6_quality_rules, "op8_best_fit_packing": op8_best_fit_packing}
-SQL = {"op2_chat_formatting": OP2_SQL, "op6_quality_rules": OP6_SQL}
+QUERIES = {"op4_embedding_dedup": op4_embedding_dedup, "op2_chat_formatting": op2_chat_formatting, "op5_source_mixing": op5_source_mixing, "op6_quality_rules": op6_quality_rules, "op8_best_fit_packing": op8_best_fit_packing}
+SQL = {"op4_embedding_dedup": OP4_SQL, "op2_chat_formatting": OP2_SQL, "op6_quality_rules": OP6_SQL}
