@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, mixing, packing, quality_rules
+from . import chat, embed_dedup, mixing, ngram_join, packing, quality_rules
 from .common import table
 
 
@@ -107,6 +107,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        failed_bits = 0 AS kept, failed_bits FROM b
 """
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.links(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i+4]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS s FROM w
+), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), n AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a),
+c AS (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n_links, 0)::BIGINT AS n_links, least(doc_id, coalesce(least, doc_id)) AS class_id,
+       least(doc_id, coalesce(least, doc_id)) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -121,5 +144,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.join(places, ["part", "row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op4_embedding_dedup": op4_embedding_dedup, "op2_chat_formatting": op2_chat_formatting, "op5_source_mixing": op5_source_mixing, "op6_quality_rules": op6_quality_rules, "op8_best_fit_packing": op8_best_fit_packing}
-SQL = {"op4_embedding_dedup": OP4_SQL, "op2_chat_formatting": OP2_SQL, "op6_quality_rules": OP6_SQL}
+QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op4_embedding_dedup": op4_embedding_dedup, "op2_chat_formatting": op2_chat_formatting, "op5_source_mixing": op5_source_mixing, "op6_quality_rules": op6_quality_rules, "op8_best_fit_packing": op8_best_fit_packing}
+SQL = {"op7_ngram_jaccard_join": OP7_SQL, "op4_embedding_dedup": OP4_SQL, "op2_chat_formatting": OP2_SQL, "op6_quality_rules": OP6_SQL}
