@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, mixing, ngram_join, packing, quality_rules
+from . import chat, embed_dedup, gam, mixing, ngram_join, packing, quality_rules, toxicity
 from .common import table
 
 
@@ -43,6 +43,17 @@ FROM parts GROUP BY conv_id
 """
 
 
+def _remainder(id_col, n: int):
+    """crc32 of an id as text, modulo n; null for a null id."""
+    return F.crc32(id_col.cast("string")) % n
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns where the remainder is not 0; a score of 0.3 or more is predicted 1."""
+    scored = gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda x: _remainder(x, 5) != 0)
+    return scored.select("doc_id", (_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -130,6 +141,19 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+TOXIC = 0.7
+
+
+def learns_toxicity(doc_id):
+    return _remainder(doc_id, 3) != 1
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns where the remainder is not 1; a score of 0.7 or more is predicted 1."""
+    scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learns_toxicity)
+    return scored.select("doc_id", (~learns_toxicity(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -144,5 +168,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.join(places, ["part", "row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op4_embedding_dedup": op4_embedding_dedup, "op2_chat_formatting": op2_chat_formatting, "op5_source_mixing": op5_source_mixing, "op6_quality_rules": op6_quality_rules, "op8_best_fit_packing": op8_best_fit_packing}
+QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op9_toxicity": op9_toxicity, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op4_embedding_dedup": op4_embedding_dedup, "op2_chat_formatting": op2_chat_formatting, "op5_source_mixing": op5_source_mixing, "op6_quality_rules": op6_quality_rules, "op8_best_fit_packing": op8_best_fit_packing}
 SQL = {"op7_ngram_jaccard_join": OP7_SQL, "op4_embedding_dedup": OP4_SQL, "op2_chat_formatting": OP2_SQL, "op6_quality_rules": OP6_SQL}
