@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, gam, mixing, ngram_join, packing, quality_rules, toxicity
+from . import chat, embed_dedup, gam, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 from .common import table
 
 
@@ -168,5 +168,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.join(places, ["part", "row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op9_toxicity": op9_toxicity, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op4_embedding_dedup": op4_embedding_dedup, "op2_chat_formatting": op2_chat_formatting, "op5_source_mixing": op5_source_mixing, "op6_quality_rules": op6_quality_rules, "op8_best_fit_packing": op8_best_fit_packing}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op10_suffix_dedup": op10_suffix_dedup, "op3_quality_classifier": op3_quality_classifier, "op9_toxicity": op9_toxicity, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op4_embedding_dedup": op4_embedding_dedup, "op2_chat_formatting": op2_chat_formatting, "op5_source_mixing": op5_source_mixing, "op6_quality_rules": op6_quality_rules, "op8_best_fit_packing": op8_best_fit_packing}
 SQL = {"op7_ngram_jaccard_join": OP7_SQL, "op4_embedding_dedup": OP4_SQL, "op2_chat_formatting": OP2_SQL, "op6_quality_rules": OP6_SQL}
