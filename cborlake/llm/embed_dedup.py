@@ -27,9 +27,11 @@ from .components import components
 from .tiles import FOUND, counted, summed, tile_pairs
 
 THRESHOLD = 0.9
-TILE = 2048
-#: The tree is laid on so many vectors at most, chosen by the hash of their ids, and has so many leaves at most. Any
-#: tree gives the same links; a good one saves work.
+#: Vectors of a tile, and rows of a tile compared at once.
+TILE, STRIP = 4096, 512
+#: The tree is laid on so many vectors at most, chosen by the hash of their ids, and has so many leaves at most, and no
+#: more than there are tiles to fill: each pair of leaves that may meet costs two tiles of shuffle. Any tree gives the
+#: same links; a good one saves work.
 TREE_SAMPLE, LEAVES = 16_384, 256
 #: Leading axes added up before each look at the bound.
 STEPS = (8, 24)
@@ -118,47 +120,50 @@ def _near(boxes: list[tuple[int, np.ndarray, np.ndarray]], threshold: float) ->
     return out
 
 
-def _hits(a: dict, b: dict | None, turn: np.ndarray, threshold: float) -> np.ndarray:
-    """Which vectors of a are linked with which of b (of a, if b is None)."""
-    ua = _unit(a["v"].astype(np.float64))
-    ub = ua if b is None else _unit(b["v"].astype(np.float64))
+def _hits(a: np.ndarray, b: np.ndarray | None, turn: np.ndarray, threshold: float) -> np.ndarray:
+    """Which vectors of a are linked with which of b (of a, if b is None; none with itself)."""
+    ua = _unit(a.astype(np.float64))
+    ub = ua if b is None else _unit(b.astype(np.float64))
     ya, yb = ua @ turn, ub @ turn
+    out = np.zeros((len(ua), len(ub)), bool)
+    for at in range(0, len(ua), STRIP):
+        k = slice(at, at + STRIP)
+        i, j, cosine = _reach(ya[k], yb, at if b is None else None, threshold)
+        ok = _decided(cosine, ua[k], ub, i, j, threshold)
+        out[at + i[ok], j[ok]] = True
+    return out
+
+
+def _reach(ya: np.ndarray, yb: np.ndarray, own: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that reach the threshold, all but for rounding, and their cosines. own: where ya lies in yb."""
     dim, done, total = ya.shape[1], 0, np.zeros((len(ya), len(yb)))
     rows, cols = np.arange(len(ya)), np.arange(len(yb))
-    for upto in [s for s in STEPS if s < dim]:
+    for upto in [*(s for s in STEPS if s < dim), dim]:
         total += ya[rows, done:upto] @ yb[cols, done:upto].T
         done = upto
         rest_a, rest_b = (np.sqrt(np.maximum(0, 1 - (y[k, :done] ** 2).sum(1))) for y, k in ((ya, rows), (yb, cols)))
-        live = total + rest_a[:, None] * rest_b[None, :] >= threshold - EPS
-        if b is None:
-            live[np.arange(len(rows)), np.arange(len(rows))] &= True
-            keep_r = keep_c = (live.sum(1) > 1) | ~np.diagonal(live)
-        else:
-            keep_r, keep_c = live.any(1), live.any(0)
+        bound = total + rest_a[:, None] * rest_b[None, :] if done < dim else total
+        live = bound >= threshold - EPS
+        if own is not None:
+            live &= cols[None, :] != rows[:, None] + own
+        if done == dim or live.sum() < 0.05 * live.size:
+            break
+        keep_r, keep_c = live.any(1), live.any(0)
         total, rows, cols = total[np.ix_(keep_r, keep_c)], rows[keep_r], cols[keep_c]
-        if not len(rows) or not len(cols):
-            return np.zeros((len(ya), len(yb)), bool)
-        live = live[np.ix_(keep_r, keep_c)]
-        if live.sum() < 0.1 * live.size:  # few pairs are left: the rest of their products alone
-            i, j = np.nonzero(live)
-            sums = total[i, j]
-            for at in range(0, len(i), 200_000):
-                k = slice(at, at + 200_000)
-                sums[k] += np.einsum("ij,ij->i", ya[rows[i[k]], done:], yb[cols[j[k]], done:])
-            out = np.zeros((len(ya), len(yb)), bool)
-            return _decide(out, rows[i], cols[j], sums, ua, ub, threshold)
-    total += ya[rows, done:] @ yb[cols, done:].T
-    out = np.zeros((len(ya), len(yb)), bool)
-    i, j = np.nonzero(total >= threshold - EPS)
-    return _decide(out, rows[i], cols[j], total[i, j], ua, ub, threshold)
-
-
-def _decide(out: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: np.ndarray, ua: np.ndarray, ub: np.ndarray, threshold: float) -> np.ndarray:
+    i, j = np.nonzero(live)
+    cosine = total[i, j]
+    if done < dim:  # few pairs are left: the rest of their products alone
+        for at in range(0, len(i), 100_000):
+            k = slice(at, at + 100_000)
+            cosine[k] += np.einsum("ij,ij->i", ya[rows[i[k]], done:], yb[cols[j[k]], done:])
+    ok = cosine >= threshold - EPS
+    return rows[i[ok]], cols[j[ok]], cosine[ok]
+
+
+def _decided(cosine: np.ndarray, ua: np.ndarray, ub: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     close = np.flatnonzero(np.abs(cosine - threshold) < EPS)
     cosine[close] = (ua[i[close]] * ub[j[close]]).sum(1)
-    ok = cosine >= threshold
-    out[i[ok], j[ok]] = True
-    return out
+    return cosine >= threshold
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -188,7 +193,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     turn = np.linalg.eigh(_moments(classes, dim))[1][:, ::-1].copy()
     some = classes.select("v").orderBy(F.xxhash64("node")).limit(TREE_SAMPLE).toArrow()
-    nodes = _tree(_unit(_matrix(some.column(0).combine_chunks(), dim)) @ turn, LEAVES) if some.num_rows else []
+    n_leaves = min(LEAVES, -(-classes.count() // TILE))
+    nodes = _tree(_unit(_matrix(some.column(0).combine_chunks(), dim)) @ turn, n_leaves) if some.num_rows else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,9 +241,7 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
             for k in range(batch.num_rows):
                 a = _load(batch.column(0)[k].as_py())
                 b = _load(right) if (right := batch.column(1)[k].as_py()) else None
-                hits = _hits(a, b, turn, threshold)
-                if b is None:
-                    np.fill_diagonal(hits, False)
+                hits = _hits(a["v"], b and b["v"], turn, threshold)
                 if hits.any():
                     for found in counted(hits, a["node"], b and b["node"], a["n"], b and b["n"]):
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "links", "root"])
