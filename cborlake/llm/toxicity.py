@@ -35,9 +35,11 @@ from .common import materialize
 
 SAMPLE = 8_000
 DECAY, GAP = 0.6, 2
-WITNESSES, LANDMARKS, CLEAN_WORDS = 300, 600, 20_000
+WITNESSES, LANDMARKS, CLEAN_WORDS = 200, 400, 20_000
 #: Rounds in which the clean words judged worst join the examples, and how many.
 MINED, HARD = 2, 3_000
+#: Clean examples of a fit, those most like the witnesses.
+HARD_WORDS = 6_000
 #: Slots of the table of weights; a subsequence's slot is a hash of its characters.
 SLOTS = 1 << 20
 CACHE = 400_000
@@ -91,18 +93,19 @@ def occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_, slot_, weight_ / scale[word_]
 
 
-def _features(words: list[str], columns: dict[int, int]) -> np.ndarray:
-    """words x subsequences of the landmarks."""
-    out = np.zeros((len(words), len(columns)))
-    for at in range(0, len(words), 4000):
-        word, slot, weight = occurrences(words[at : at + 4000])
-        keys = np.fromiter(columns, np.int64, len(columns))
-        order = np.argsort(keys)
-        k = np.searchsorted(keys[order], slot)
-        k[k == len(keys)] = 0
-        ok = keys[order][k] == slot
-        np.add.at(out, (at + word[ok], order[k[ok]]), weight[ok])
-    return out
+def _features(words: list[str], slots: np.ndarray) -> np.ndarray:
+    """words x slots: the weights of those subsequences."""
+    word, slot, weight = occurrences(words)
+    k = np.searchsorted(slots, slot)
+    k[k == len(slots)] = 0
+    ok = slots[k] == slot
+    return np.bincount(word[ok] * len(slots) + k[ok], weight[ok], len(words) * len(slots)).reshape(len(words), -1).astype(np.float32)
+
+
+def _kernel(words: list[str], slots: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """words x marks; a few hundred words at a time, as a row of all subsequences is long."""
+    parts = [_features(words[at : at + 200], slots) @ marks.T for at in range(0, len(words), 200)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(marks)), np.float32)
 
 
 @dataclass
@@ -166,23 +169,19 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: float = 100.0, steps: int
 
 def fit_words(witnesses: list[str], clean: list[str]) -> tuple[np.ndarray, float]:
     """The table of weights and the bias. clean: words of clean documents."""
-    word, slot, _ = occurrences(witnesses)
-    columns = {int(s): k for k, s in enumerate(np.unique(slot))}
-    bad, good = _features(witnesses, columns), _features(clean, columns)
-    like = (good @ bad.T).max(1) if len(clean) else np.zeros(0)
-    near = np.argsort(-like, kind="stable")
+    slots = np.unique(occurrences(witnesses)[1])
+    bad = _features(witnesses, slots)
+    like = _kernel(clean, slots, bad).max(1) if clean else np.zeros(0)
+    hard = [clean[k] for k in np.argsort(-like, kind="stable")[:HARD_WORDS]]
     # landmarks: the witnesses, and the clean words most like them
-    marks = np.vstack([bad, good[near[: max(0, LANDMARKS - len(witnesses))]]])
-    inner = marks @ marks.T
-    values, vectors = np.linalg.eigh(inner)
-    ok = values > 1e-6 * values.max()
+    marks = np.vstack([bad, _features(hard[: max(0, LANDMARKS - len(witnesses))], slots)]) if hard else bad
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    ok = values > 1e-5 * values.max()
     root = vectors[:, ok] / np.sqrt(values[ok])
-    hard = near[:6000]
-    z = np.vstack([bad, good[hard]]) @ marks.T @ root
-    y = np.concatenate([np.ones(len(bad)), -np.ones(len(hard))])
-    v, bias = _squared_hinge(z, y)
+    z = np.vstack([bad @ marks.T, _kernel(hard, slots, marks)]) @ root
+    v, bias = _squared_hinge(z, np.concatenate([np.ones(len(bad)), -np.ones(len(hard))]))
     table = np.zeros(SLOTS)
-    table[np.fromiter(columns, np.int64, len(columns))] = marks.T @ (root @ v)
+    table[slots] = marks.T @ (root @ v)
     return table, bias
 
 
@@ -266,6 +265,22 @@ def model_of(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id",
     return train(materialize(texts.select("text", "y"), "labelled"))
 
 
+def keep_below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores less than limit."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(held.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                low = held.value.score(reader([t or "" for t in some.column(place).to_pylist()])) < limit
+                yield some.filter(pa.array(low))
+
+    return docs.mapInArrow(read, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """id and score of each document."""
     model = model_of(docs, labels, learn, id_col, text_col, label_col, sample)
