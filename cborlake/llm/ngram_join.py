@@ -200,6 +200,24 @@ def _open(tile: pa.Scalar) -> dict | None:
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document: id, n_links (other documents of similarity 0.8 or more), class_id (least id reachable by
     links) and kept (one document of each class: the one with the least id, the first by row if ids repeat)."""
+    return _linked(docs, id_col, text_col).select(F.col("id").alias(id_col), "n_links", "class_id", "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, of the documents kept. Rows are known again by id and text; of rows
+    equal in both, one stays, whichever."""
+    place = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
+    pairs = materialize(_linked(docs, id_col, text_col).groupBy("id", "digest").agg(F.bool_or("kept").alias("stays"), F.bool_and("kept").alias("all")), "pairs").where("stays")
+    same = F.expr("place.id <=> pair.id AND place.digest = pair.digest")
+    named = pairs.select(F.struct("id", "digest").alias("pair"), "all")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), place.alias("place"))
+    whole = rows.join(named.where("all"), same, "left_semi").select("row")
+    some = rows.join(named.where("NOT all"), same, "left_semi").groupBy("place").agg(F.first("row").alias("row")).select("row")
+    return whole.unionByName(some).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """uid, id, digest, n_links, class_id and kept of each document."""
     feats = features(docs, id_col, text_col)
     classes = materialize(feats.where("key IS NOT NULL").groupBy("key").agg(F.min("uid").alias("node"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig")), "classes")
     ties = materialize(candidates(classes), "ties")
@@ -217,7 +235,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     linked = components(joined)
     per_class = classes.select("key", "node", "n").join(n_links, "node", "left").join(linked, "node", "left")
     per_class = per_class.select("key", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    rows = feats.select("uid", "id", "key").join(per_class, "key", "left")
-    rows = materialize(rows.select("uid", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "uid").alias("component")), "members")
+    rows = feats.select("uid", "id", "digest", "key").join(per_class, "key", "left")
+    rows = materialize(rows.select("uid", "id", "digest", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "uid").alias("component")), "members")
     heads = rows.groupBy("component").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "uid"))["uid"].alias("head"))
-    return rows.join(heads, "component").select(F.col("id").alias(id_col), "n_links", "class_id", (F.col("uid") == F.col("head")).alias("kept"), "uid")
+    return rows.join(heads, "component").select("uid", "id", "digest", "n_links", "class_id", (F.col("uid") == F.col("head")).alias("kept"))

@@ -285,12 +285,13 @@ def _union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[np.concatenate([first[1:], [len(start)]]) - 1]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """For each document: id, n_bytes, spans (array<struct<start, end>>, in bytes of the input), rest (the remaining
-    bytes) and, if columns are to be kept, the struct ``kept``."""
+    bytes) and, if columns are to be kept, the struct ``kept``. as_text: rest is a string; a character that a cut
+    has parted is left out."""
     chunks = _chunks(docs, id_col, text_col, keep)
     found = marks(chunks).groupBy("chunk").agg(F.collect_list("body").alias("marks"))
-    fields = [f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, rest binary"]
+    fields = [f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, rest {'string' if as_text else 'binary'}"]
     if keep:
         fields.append("kept " + docs.select(F.struct(*keep, F.lit(0).alias("_")).alias("kept")).schema["kept"].dataType.simpleString())
 
@@ -314,7 +315,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     spans.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
                     edges = [0, *np.stack([start, end], 1).ravel().tolist(), len(text)]
                     rest.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                arrays = [rows.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(rest, pa.binary())]
+                arrays = [rows.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string()) if as_text else pa.array(rest, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*arrays, *rows.columns[3:]], names=["id", "n_bytes", "spans", "rest", *["kept"] * bool(keep)])
 
     return chunks.join(found, "chunk", "left").select("chunk", "body", "marks").mapInArrow(apply, ", ".join(fields)).withColumnRenamed("id", id_col)
