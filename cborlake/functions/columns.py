@@ -141,7 +141,7 @@ def float_width(value: Column) -> Column:
 
 def encode_float_dcbor(value: Column) -> Column:
     """Of a DOUBLE column: whole numbers from -2^63 to 2^64 - 1 become integers, both zeros the integer 0."""
-    whole = (value == F.floor(value)) & (value >= -(2.0**63)) & (value < 2.0**64)
+    whole = (value == F.rint(value)) & (value >= -(2.0**63)) & (value < 2.0**64)
     small = F.when(whole & (value < 2.0**63), value).cast("long")
     # from 2^63 on the bits themselves are shifted, as a cast to a decimal would round
     fraction = double_bits(value).bitwiseAND(F.lit((1 << 52) - 1)).bitwiseOR(F.lit(1 << 52))
