@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(names) -> list:
+    """Columns of these names, whatever characters they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def words_of(text):
     """Array of a text's words; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, materialize, parts
+from .common import WORD, materialize, parts, quoted
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -67,10 +67,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     """For each document: id, source, size, source_size, target, copies (long), positions (array<double>, the training
     time of each copy), and the columns ``keep`` under their own names in the struct ``kept``."""
     mixed = F.xxhash64(F.col(id_col), F.lit(7))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(docs, text_col).alias("size"), mixed.alias("h"), F.struct(*keep, F.lit(0).alias("_")).alias("kept"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(docs, text_col).alias("size"), mixed.alias("h"), *([F.struct(*quoted(keep)).alias("kept")] if keep else []))
     rows = rows.withColumn("slice", F.shiftrightunsigned("h", 54))
-    light = rows.drop("kept") if not keep else rows
-    light = materialize(light, "sizes")
+    light = materialize(rows, "sizes")
     slices = light.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = F.sum("slice_size").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
     slices = slices.withColumn("before", F.coalesce(before, F.lit(0)))

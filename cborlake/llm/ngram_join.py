@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 from .components import components
 from .textvec import chunks, shingles
 from .tiles import FOUND, counted, summed, tile_pairs
@@ -210,7 +210,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = materialize(_linked(docs, id_col, text_col).groupBy("id", "digest").agg(F.bool_or("kept").alias("stays"), F.bool_and("kept").alias("all")), "pairs").where("stays")
     same = F.expr("place.id <=> pair.id AND place.digest = pair.digest")
     named = pairs.select(F.struct("id", "digest").alias("pair"), "all")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), place.alias("place"))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), place.alias("place"))
     whole = rows.join(named.where("all"), same, "left_semi").select("row")
     some = rows.join(named.where("NOT all"), same, "left_semi").groupBy("place").agg(F.first("row").alias("row")).select("row")
     return whole.unionByName(some).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

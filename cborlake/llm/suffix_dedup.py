@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, parts
+from .common import materialize, parts, quoted
 from .induced import suffixes
 from .textvec import _power, mix
 
@@ -85,7 +86,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...])
                 at, number = upto, number + 1
 
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST)))
-    kept = [F.struct(*keep, F.lit(0).alias("_")).alias("kept")] if keep else []
+    kept = [F.struct(*quoted(keep)).alias("kept")] if keep else []
     rows = docs.select(order.alias("order"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *kept)
     return materialize(rows.mapInArrow(gather, "chunk long, body binary"), "chunks", compression="uncompressed")
 
@@ -291,9 +292,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     has parted is left out."""
     chunks = _chunks(docs, id_col, text_col, keep)
     found = marks(chunks).groupBy("chunk").agg(F.collect_list("body").alias("marks"))
-    fields = [f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, rest {'string' if as_text else 'binary'}"]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string(f"n_bytes long, spans array<struct<start:long,end:long>>, rest {'string' if as_text else 'binary'}").fields])
     if keep:
-        fields.append("kept " + docs.select(F.struct(*keep, F.lit(0).alias("_")).alias("kept")).schema["kept"].dataType.simpleString())
+        schema.add("kept", T.StructType([docs.schema[c] for c in keep]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,4 +319,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 arrays = [rows.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string()) if as_text else pa.array(rest, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*arrays, *rows.columns[3:]], names=["id", "n_bytes", "spans", "rest", *["kept"] * bool(keep)])
 
-    return chunks.join(found, "chunk", "left").select("chunk", "body", "marks").mapInArrow(apply, ", ".join(fields)).withColumnRenamed("id", id_col)
+    return chunks.join(found, "chunk", "left").select("chunk", "body", "marks").mapInArrow(apply, schema).withColumnRenamed("id", id_col)
