@@ -72,14 +72,10 @@ class Queue:
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is of type S, smaller than the next one."""
     n = len(text)
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    at = np.searchsorted(differs, np.arange(n - 1))
-    small = np.ones(n, bool)
-    if len(differs):
-        known = at < len(differs)
-        up = text[differs] < text[differs + 1]
-        small[:-1][known] = up[at[known]]
-    return small
+    up = text[:-1] < text[1:]
+    at = np.where(text[:-1] != text[1:], np.arange(n - 1), n)  # the next place where a symbol changes
+    at = np.minimum.accumulate(at[::-1])[::-1]
+    return np.append(np.append(up, True)[np.minimum(at, n - 1)], True)
 
 
 def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -98,31 +94,36 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nda
     return out
 
 
-def _sort_stars(text: np.ndarray, stars: np.ndarray, depth: int) -> np.ndarray:
-    """The S* positions in order of their suffixes."""
-    padded = np.concatenate([text, np.zeros(depth + 2 * PACK, text.dtype)])
-    order = stars
-    group = np.zeros(len(stars), np.int64)
+def _sort_stars(text: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The S* positions in order of their suffixes, and the common prefix of each with the one before. Names are of PACK
+    symbols; those of equal names are sorted by the name after, and so on."""
+    padded = np.concatenate([text, np.zeros(depth + 2 * PACK, text.dtype)]).astype(np.uint64)
+    names = padded[: len(text) + depth + PACK].copy()
+    for k in range(1, PACK):
+        names = names << np.uint64(BITS) | padded[k : k + len(names)]
+    order, prefix = stars.copy(), np.full(len(stars), depth, np.uint8)
+    prefix[:1] = 0
+    new = np.zeros(len(stars), bool)  # differs from the one before
+    new[:1] = True
+    tied = np.arange(len(stars)) if len(stars) > 1 else np.zeros(0, np.int64)
     for start in range(0, depth, PACK):
-        # only those whose names so far are those of a neighbour
-        same = np.concatenate([[False], group[1:] == group[:-1]]) if len(group) else np.zeros(0, bool)
-        tied = np.flatnonzero(same | np.concatenate([same[1:], [False]])) if len(group) else np.zeros(0, np.int64)
         if not len(tied):
             break
-        at = order[tied] + start
-        ok = at < len(text)
-        key = np.zeros(len(tied), np.uint64)
-        for k in range(PACK):
-            key = key << np.uint64(BITS) | padded[np.where(ok, at + k, len(text))].astype(np.uint64)
-        by = np.lexsort((key, group[tied]))
-        order[tied] = order[tied][by]
-        key, own = key[by], group[tied]
-        fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])])
-        names = np.ones(len(order), bool)
-        names[tied] = fresh
-        names[1:] |= group[1:] != group[:-1]
-        group = np.cumsum(names)
-    return order
+        own = order[tied]
+        key = names[np.minimum(own + start, len(names) - 1)]
+        by = np.lexsort((key, np.cumsum(new)[tied])) if start else np.argsort(key, kind="stable")
+        order[tied], key = own[by], key[by]
+        apart = np.flatnonzero(~new[tied[1:]] & (tied[1:] == tied[:-1] + 1) & (key[1:] != key[:-1])) + 1
+        x = key[apart] ^ key[apart - 1]
+        same = np.full(len(apart), start, np.int64)
+        for k in range(1, PACK):
+            same += x < np.uint64(1 << BITS * (PACK - k))
+        prefix[tied[apart]] = np.minimum(same, depth)
+        new[tied[apart]] = True
+        joined = ~new
+        joined[:-1] |= ~new[1:]
+        tied = np.flatnonzero(joined)
+    return order, prefix
 
 
 class _Minima:
@@ -193,16 +194,13 @@ class _Induction:
 def suffixes(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """text: symbols, the last one 0 and the only 0. Returns positions in suffix order and the common prefix of each
     with the one before, up to depth."""
-    text = text.astype(np.int64)
+    text = text.astype(np.uint16)
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.uint8)
     small = _types(text)
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    stars = _sort_stars(text, stars, depth)
-    star_prefix = np.zeros(len(stars), np.uint8)
-    if len(stars) > 1:
-        star_prefix[1:] = common(text, stars[1:], stars[:-1], depth)
+    stars, star_prefix = _sort_stars(text, stars, depth)
     heads = np.searchsorted(text[stars], np.arange(SYMBOLS + 1))
     used = np.flatnonzero(np.bincount(text, minlength=SYMBOLS))
 
