@@ -9,7 +9,7 @@ word were seen. The mixed logit is refined by an adaptive map from (gate, logit)
 Training is online: a task walks through its documents in steps; each step is predicted with what was learned from the
 steps before it, then weights take a gradient step, the map and the counts are brought up to date. Counts, weights and
 maps of all tasks are then added up, in a tree, so that the model has seen every training byte. Its tables have a
-size fixed by SLOT_BITS. In a step, equal contexts with equal outcomes are worked out once.
+size fixed by CONTEXTS. In a step, equal contexts with equal outcomes are worked out once; a step is learned in slices.
 
 The base score counts words instead: Laplace's estimate over the training documents' words. Words that occur most (HOT
 at most, of HOT_BYTES at most) are looked up where texts are scored; all others are joined.
@@ -37,25 +37,30 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .textvec import _SPACE, _power, chunks
 
-#: Kinds of context: so many last bytes; so many last bytes of the word, in lower case; the word so far, in lower case.
-CONTEXTS = (("bytes", 1), ("bytes", 3), ("word", 4), ("word", 6), ("word", 1 << 30))
-_TAIL = max(size for kind, size in CONTEXTS if kind == "bytes")
-SLOT_BITS, BLOCK_BITS = 22, 16
+#: Kinds of context: so many last bytes; so many last bytes of the word, in lower case; the word so far, in lower case. And
+#: the bits of a slot's number in its table.
+CONTEXTS = (("bytes", 1, 16), ("bytes", 3, 20), ("word", 4, 20), ("word", 6, 21), ("word", 1 << 30, 23))
+_TAIL = 6  # last bytes kept of each place
+BLOCK_BITS = 16
 #: Bytes of a step of training, and of texts scored at once.
-STEP, BATCH = 2_000_000, 2_000_000
+STEP, BATCH = 2_500_000, 2_500_000
+#: Bytes worked on at once where it is bytes that are worked on, few enough to stay in a core's cache.
+BLOCK = 1 << 17
+#: Distinct symbols in contexts predicted at once, before what they teach is taken in.
+SLICE = 32_768
 #: The gate tells apart so many places of a bit in a code, and for each predictor that it watches, how often the slot
 #: was seen: less often than these numbers.
 PLACES, WATCHED = 8, (4, 2)
 SEEN = (1, 2, 4, 16, 128, 2048)
 GATES = PLACES * (len(SEEN) + 1) ** len(WATCHED)
-PRIOR, RATE, BOUND = 0.4, 0.15, 11.0
+PRIOR, RATE, BOUND = 0.4, 0.1, 11.0
 #: Cells of the adaptive map for a gate; logits in between are interpolated.
 CELLS = 24
 #: Logits of table slots are kept as multiples of this.
 UNIT = BOUND / 127
 HOT, HOT_BYTES = 131_072, 64
 #: Words counted in a task before they are handed on.
-WORDS = 400_000
+WORDS = 150_000
 #: Partial models added up in one task.
 FAN_IN = 32
 _END = 256
@@ -86,50 +91,75 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 
 
-def _keys(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of each distinct pair of symbol and contexts: the symbol and the hashed contexts; which one each symbol of the
-    texts is; and where texts begin."""
+def _block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each symbol of the texts: a hash of the word so far, the bytes before it (the last one lowest; none before a
+    text begins), how many of them belong to the word, and the symbol; and the hash of all that."""
     data = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)  # an end is coded in place of the line end
     n = len(data)
     ends = np.cumsum([len(t) + 1 for t in texts])
     begins = np.concatenate([[0], ends[:-1]])
-    place = np.arange(n)
-    after = np.zeros(n, np.int64)  # where this symbol's word begins
+    place = np.arange(n, dtype=np.int32)
+    after = np.zeros(n, np.int32)  # where this symbol's word begins
     after[1:] = np.where(_SPACE[data[:-1]], place[1:], 0)
     after[begins] = begins
     after = np.maximum.accumulate(after)
-    symbol = data.astype(np.int64)
+    symbol = data.astype(np.uint16)
     symbol[ends - 1] = _END
     powers, inverse = _power(n + 1)
-    lower = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data] + np.uint64(1)) * powers[:n], out=lower[1:])
-    # what all contexts follow from: the word so far and the last bytes
-    joint = (lower[:n] - lower[after]) * inverse[after]
-    joint ^= joint >> np.uint64(32)
-    joint *= np.uint64(0x9E3779B97F4A7C15)
-    tail = np.zeros(n, np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((_LOWER[data] + np.uint64(1)) * powers[:n], out=sums[1:])
+    word = (sums[:n] - sums[after]) * inverse[after]
+    word ^= word >> np.uint64(32)
+    word *= np.uint64(0x9E3779B97F4A7C15)
+    before = np.zeros(n, np.uint64)
+    wide = data.astype(np.uint64)
     for k in range(1, _TAIL + 1):
-        tail[k:] |= data[:-k].astype(np.uint64) << np.uint64(8 * (k - 1) + 9)
+        before[k:] |= wide[:-k] << np.uint64(8 * (k - 1))
     for k in range(_TAIL):  # nothing before a text's first byte
         at = begins[begins + k < ends] + k
-        tail[at] &= np.uint64((1 << 9 + 8 * k) - 1)
-    joint ^= joint >> np.uint64(29)
-    joint += (tail | symbol.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        before[at] &= np.uint64((1 << 8 * k) - 1)
+    inside = np.minimum(place - after, _TAIL).astype(np.uint8)
+    # all contexts follow from the word so far and the last few bytes
+    joint = word ^ (word >> np.uint64(29))
+    joint += ((before & np.uint64(0xFFFFFF)) << np.uint64(9) | symbol) * np.uint64(0xD6E8FEB86659FD93)
+    joint ^= joint >> np.uint64(31)
+    return word, before, inside, symbol, joint
+
+
+def _keys(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of each distinct pair of symbol and contexts: the symbol and the hashed contexts; which one each symbol of the
+    texts is; and where texts begin."""
+    parts = [_block(texts[a:b]) for a, b in chunks(texts, BLOCK)]
+    joint = np.concatenate([p[4] for p in parts])
     codes = pa.array(joint).dictionary_encode().indices.to_numpy()
     first = np.empty(codes.max() + 1, np.int64)
-    first[codes[::-1]] = place[::-1]
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    first.sort()  # tables are met in the order of the text
+    turn = np.empty(len(first), np.int64)
+    turn[codes[first]] = np.arange(len(first))
+    word, before, inside, symbol = (np.concatenate([p[k] for p in parts])[first] for k in range(4))
+    lower = before | _capitals(before) >> np.uint64(1)
     contexts = []
-    after, tail = after[first], tail[first] >> np.uint64(9)
-    for k, (kind, size) in enumerate(CONTEXTS):
+    for k, (kind, size, _) in enumerate(CONTEXTS):
         if kind == "bytes":
-            h = tail & np.uint64((1 << 8 * size) - 1)
+            h = before & np.uint64((1 << 8 * size) - 1)
+        elif size <= _TAIL:
+            held = np.minimum(inside, size).astype(np.uint64)
+            h = (lower & ((np.uint64(1) << (held * np.uint64(8))) - np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15) + held
         else:
-            start = np.maximum(after, first - size)
-            h = (lower[first] - lower[start]) * inverse[start]
-        h ^= h >> np.uint64(32)
+            h = word
+        h = h ^ (h >> np.uint64(32))
         h = (h + np.uint64(2 * k + 1)) * np.uint64(0xD6E8FEB86659FD93)
         contexts.append(h ^ (h >> np.uint64(29)))
-    return symbol[first], contexts, codes, begins
+    return symbol.astype(np.int64), contexts, turn[codes], np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+
+
+def _capitals(x: np.ndarray) -> np.ndarray:
+    """0x40 in each byte that is a letter from A to Z."""
+    ones = np.uint64(0x0101010101010101)
+    low = x & (ones * np.uint64(0x7F))
+    over = (low + ones * np.uint64(0x80 - 65)) & ~(low + ones * np.uint64(0x80 - 91)) & ~x
+    return (over >> np.uint64(1)) & (ones * np.uint64(0x40))
 
 
 def _decisions(symbol: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
@@ -143,7 +173,7 @@ def _decisions(symbol: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple
             return
         node = (1 << d | bits >> sizes - d).astype(np.uint64)  # the bits so far, the first on top
         spread = node * np.uint64(0xBF58476D1CE4E5B9)
-        yield min(d, PLACES - 1), rows, (bits >> sizes - d - 1 & 1).astype(bool), [((c + spread) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for c in contexts]
+        yield min(d, PLACES - 1), rows, (bits >> sizes - d - 1 & 1).astype(bool), [((c + spread) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - size)).astype(np.int64) for c, (_, _, size) in zip(contexts, CONTEXTS, strict=True)]
 
 
 def _halves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,13 +224,24 @@ class Trainer:
 
     def __init__(self):
         # a slot's ones in the low, its zeros in the high half
-        self.counts = np.zeros((len(CONTEXTS), 1 << SLOT_BITS), np.int64)
+        self.counts = [np.zeros(1 << size, np.int64) for _, _, size in CONTEXTS]
         self.weights, self.map = _start()
         self.seen = np.zeros(GATES)
+        self.late: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def step(self, texts: list[bytes]) -> None:
         symbol, contexts, codes, _ = _keys(texts)
         times = np.bincount(codes, minlength=len(symbol))
+        n = -(-len(symbol) // SLICE)
+        for at in range(n):  # each slice a cross-section: what comes first in a text is more common than what comes last
+            w = slice(at, None, n)
+            self._learn(symbol[w], [c[w] for c in contexts], times[w])
+        # counts last: within a step rare symbols come after the common ones of their context, and are not to see them
+        for k, slots, count in self.late:
+            np.add.at(self.counts[k], slots, count)
+        self.late.clear()
+
+    def _learn(self, symbol: np.ndarray, contexts: list[np.ndarray], times: np.ndarray) -> None:
         for d, rows, outcome, slots in _decisions(symbol, contexts):
             n = times[rows].astype(np.float64)
             counts = [_halves(c[s]) for c, s in zip(self.counts, slots, strict=True)]
@@ -208,7 +249,7 @@ class Trainer:
             gate, mixed = _mixed(d, logits, [_level(counts[k][0] + counts[k][1]) for k in WATCHED], self.weights)
             p = _squash(mixed)
             error, curve = n * (outcome - p), n * p * (1 - p)
-            for k, x in enumerate([*logits, np.ones(1)]):
+            for k, x in enumerate([*logits, np.ones(1, np.float32)]):
                 self.weights[:, k] += RATE * np.bincount(gate, error * x, GATES) / (np.bincount(gate, curve * x * x, GATES) + 100)
             np.clip(self.weights, -2, 3, out=self.weights)
             self.seen += np.bincount(gate, n, GATES)
@@ -218,16 +259,15 @@ class Trainer:
                 self.map[1] += np.bincount(cell, part, GATES * CELLS)
             count = times[rows].astype(np.int64) << np.where(outcome, 0, 32)
             for k, s in enumerate(slots):
-                np.add.at(self.counts[k], s, count)
+                self.late.append((k, s.astype(np.int32), count))
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
         """Block and its counts; block -1 has the weights, times what they have seen, and the map."""
         yield -1, _pack(weights=self.weights * self.seen[:, None], seen=self.seen, map=self.map - _start()[1])
-        for order in range(len(CONTEXTS)):
-            for b in range(1 << SLOT_BITS - BLOCK_BITS):
-                w = slice(b << BLOCK_BITS, (b + 1) << BLOCK_BITS)
-                if (body := _sparse(*_halves(self.counts[order, w]))) is not None:
-                    yield order << 16 | b, body
+        for k, counts in enumerate(self.counts):
+            for b in range(len(counts) >> BLOCK_BITS):
+                if (body := _sparse(*_halves(counts[b << BLOCK_BITS : (b + 1) << BLOCK_BITS]))) is not None:
+                    yield k << 16 | b, body
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -275,24 +315,28 @@ def _cell(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 class Model:
     """cells: of each predictor's slots, the logit in units, times 8, and the level; weights; refined: the map's logits."""
 
-    cells: np.ndarray
+    cells: list[np.ndarray]
     weights: np.ndarray
     refined: np.ndarray
 
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Bits that coding each text and its end takes."""
-        symbol, contexts, codes, begins = _keys(texts)
-        cost = np.zeros(len(symbol))
-        for at in range(0, len(symbol), 50_000):
-            w = slice(at, at + 50_000)
+    def costs(self, symbol: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        """Bits that coding each symbol in its contexts takes."""
+        out = np.zeros(len(symbol))
+        for at in range(0, len(symbol), SLICE):
+            w = slice(at, at + SLICE)
             for d, rows, outcome, slots in _decisions(symbol[w], [c[w] for c in contexts]):
                 cells = [t[s] for t, s in zip(self.cells, slots, strict=True)]
                 logits = [(c >> 3) * np.float32(UNIT) for c in cells]
                 gate, mixed = _mixed(d, logits, [cells[k] & 7 for k in WATCHED], self.weights)
                 low, share = _cells(gate, mixed)
                 final = 0.5 * mixed + 0.5 * (self.refined[low] * (1 - share) + self.refined[low + 1] * share)
-                cost[at + rows] += np.logaddexp(0, np.where(outcome, -final, final)) / math.log(2)
-        return np.add.reduceat(cost[codes], begins)
+                out[at + rows] += np.logaddexp(0, np.where(outcome, -final, final)) / math.log(2)
+        return out
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """Bits that coding each text and its end takes."""
+        symbol, contexts, codes, begins = _keys(texts)
+        return np.add.reduceat(self.costs(symbol, contexts)[codes], begins)
 
 
 def _model(trained: DataFrame, n_parts: int) -> Model:
@@ -315,13 +359,13 @@ def _model(trained: DataFrame, n_parts: int) -> Model:
                 bodies.append(body)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["block", "body"])
 
-    cells = np.zeros((len(CONTEXTS), 1 << SLOT_BITS), np.int16)
+    cells = [np.zeros(1 << size, np.int16) for _, _, size in CONTEXTS]
     weights, counts = _start()
     for row in own.select("block", "body").mapInArrow(shrink, "block int, body binary").toLocalIterator():
         part = _unpack(bytes(row["body"]))
         if row["block"] >= 0:
             order, b = row["block"] >> 16, row["block"] & 0xFFFF
-            cells[order, (b << BLOCK_BITS) + part["at"].astype(np.int64)] = part["cell"]
+            cells[order][(b << BLOCK_BITS) + part["at"].astype(np.int64)] = part["cell"]
         else:
             some = part["seen"] > 0
             weights[some] = part["weights"][some] / part["seen"][some, None]
@@ -384,7 +428,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     hot = {bytes(r[0]) if r[0] is not None else None: r[1] for r in words.where(F.coalesce(F.octet_length("token"), F.lit(0)) <= HOT_BYTES).orderBy(F.desc("n"), "token").limit(HOT).collect()}
     # the end is looked up as well
     ends = words.where("token IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    held = docs.sparkSession.sparkContext.broadcast((model, {k: (n, math.log10(n + 1)) for k, n in hot.items() if k is not None}))  # sizes fixed by HOT and SLOT_BITS
+    held = docs.sparkSession.sparkContext.broadcast((model, {k: (n, math.log10(n + 1)) for k, n in hot.items() if k is not None}))  # sizes fixed by HOT and CONTEXTS
     end_score = math.log10(ends + 1) - whole
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,16 +52,26 @@ def test_model_is_a_distribution():
     for k in range(5):
         trainer.step([bytes(random.Random(k).choices(b"abc de", k=4000))])
     centre = np.log((trainer.map[0] + 1e-4) / (trainer.map[1] - trainer.map[0] + 1e-4))
-    model = lm_scoring.Model(np.stack([lm_scoring._cell(*lm_scoring._halves(c)) for c in trainer.counts]), trainer.weights, np.clip(centre, -lm_scoring.BOUND, lm_scoring.BOUND))
-    before = b"abc d"
-    base = model.bits([before])[0]
-    end_after = lambda t: model.bits([t])[0]
-    # bits(text + x) - bits(text) = cost of x + cost of the end after x - cost of the end after text; so compare by parts
-    symbol, contexts, codes, _ = lm_scoring._keys([before + bytes([x]) for x in range(256)])
-    assert base > 0 and end_after(b"") > 0 and len(codes) == 256 * (len(before) + 2)
-    sizes = lm_scoring._SIZES
-    assert sum(2.0 ** -int(s) for s in sizes) == pytest.approx(1.0)
-    assert len({(int(b), int(s)) for b, s in zip(lm_scoring._BITS, sizes, strict=True)}) == 257
+    model = lm_scoring.Model([lm_scoring._cell(*lm_scoring._halves(c)) for c in trainer.counts], trainer.weights, np.clip(centre, -lm_scoring.BOUND, lm_scoring.BOUND))
+    for text in (b"", b"a", b"abc de", b"zz", "é".encode()):
+        _, contexts, codes, _ = lm_scoring._keys([text])
+        costs = model.costs(np.arange(257), [np.repeat(c[codes[-1]], 257) for c in contexts])
+        assert (2.0**-costs).sum() == pytest.approx(1.0)
+    assert model.bits([b"abc", b"", b"abc"]).tolist() == pytest.approx([model.bits([t])[0] for t in (b"abc", b"", b"abc")])
+
+
+def test_contexts_depend_on_nothing_else():
+    """A symbol's contexts are the same wherever its text stands, and do not tell capitals apart within a word."""
+    texts = [b"The end", b"", b"x THE END", b"the end", b"ab" * 400]
+    symbol, contexts, codes, begins = lm_scoring._keys(texts)
+    for k, t in enumerate(texts):
+        own = lm_scoring._keys([t])
+        w = slice(begins[k], begins[k] + len(t) + 1)
+        assert symbol[codes[w]].tolist() == own[0][own[2]].tolist() == [*t, 256]
+        for c, o in zip(contexts, own[1], strict=True):
+            assert c[codes[w]].tolist() == o[own[2]].tolist()
+    word = lambda k, at: [contexts[j][codes[begins[k] + at]] for j in (2, 3, 4)]
+    assert word(0, 6) == word(2, 8) == word(3, 6) != word(3, 5)
 
 
 def clean(rng, prose):
