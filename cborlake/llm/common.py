@@ -39,16 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+#: Tables that may be given up once a result made of them is written.
+_scratch: list[str] = []
+
+
+def materialize(df: DataFrame, name: str, compression: str = "snappy", scratch: bool = True) -> DataFrame:
     """Write df to a table in the shared folder and read it back: the lineage ends there, lost executors
-    do not cause the work to be done again, and later reads prune columns. Removed when the driver ends."""
+    do not cause the work to be done again, and later reads prune columns. Removed when the driver ends, or by
+    ``release`` if it is scratch."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cborlake-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
+    if scratch:
+        _scratch.append(path)
     return spark.read.schema(T._parse_datatype_json_string(df.schema.json())).parquet(path)
 
 
+def release(docs: DataFrame) -> None:
+    """Remove the scratch tables made so far, but for those that docs reads from. For steps that follow each other, when
+    the result of the one before has been written."""
+    used = " ".join(docs.inputFiles())
+    for path in [p for p in _scratch if p.rsplit("/", 1)[1] not in used]:
+        _scratch.remove(path)
+        _remove(docs.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None:

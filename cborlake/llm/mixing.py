@@ -90,10 +90,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     return counted.select(F.col("id").alias(id_col), *out, positions.alias("positions"), *(["kept"] if keep else []))
 
 
-def arrange(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the columns of docs, a row for each copy taken, range-sorted by training position. Columns of
-    docs that bear a name used by ``plan`` are carried in a struct and so keep their values."""
-    planned = plan(docs, keep=tuple(docs.columns), **how)
-    copies = planned.select("kept", F.explode("positions").alias("position"))
-    ordered = copies.repartitionByRange(parts(docs.sparkSession), "position").sortWithinPartitions("position")
-    return ordered.select(*[F.col("kept").getField(c).alias(c) for c in docs.columns])
+def arrange(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The mix itself: the columns of docs, a row for each copy taken, range-sorted by training position. Plans are made
+    on ids, sources and sizes; texts are shuffled when the copies are known and when they are sorted, and not before."""
+    tagged = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*quoted(docs.columns)).alias("row")), "mixed", compression="zstd")
+    field = lambda c: F.col("row").getField(c)
+    light = tagged.select("uid", field(id_col).alias("id"), field(source_col).alias("source"), field(text_col).alias("text"))
+    planned = plan(light, "id", "source", "text", keep=("uid",), **how)
+    copies = planned.select("kept.uid", F.explode("positions").alias("position"))
+    taken = tagged.join(copies, "uid").select("row", "position")
+    ordered = taken.repartitionByRange(parts(docs.sparkSession), "position").sortWithinPartitions("position")
+    return ordered.select(*[field(c).alias(c) for c in docs.columns])
