@@ -237,5 +237,6 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     per_class = per_class.select("key", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     rows = feats.select("uid", "id", "digest", "key").join(per_class, "key", "left")
     rows = materialize(rows.select("uid", "id", "digest", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "uid").alias("component")), "members")
-    heads = rows.groupBy("component").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "uid"))["uid"].alias("head"))
+    # a table, so that the join below is free to split a large class
+    heads = materialize(rows.groupBy("component").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "uid"))["uid"].alias("head")), "heads")
     return rows.join(heads, "component").select("uid", "id", "digest", "n_links", "class_id", (F.col("uid") == F.col("head")).alias("kept"))
