@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +34,15 @@ from pyspark.sql import types as T
 
 from .common import materialize, parts, quoted
 from .induced import suffixes
-from .textvec import _power, mix
+from .textvec import _power
 
 LENGTH, GRAM = 50, 20
 #: Starts of grams in a window; bytes of the longest segment.
 STARTS = LENGTH - GRAM + 1
 SEGMENT = LENGTH + STARTS - 1
 CHUNK = 4_000_000
-#: Positions worked on at once; a place in them has to fit below the bits kept of a hash.
-BLOCK, PLACE_BITS = 1 << 22, 23
+#: Positions worked on at once, few enough to stay in a core's cache; a place has to fit below the bits kept of a hash.
+BLOCK, PLACE_BITS = 1 << 18, 19
 LAST = np.iinfo(np.int64).max
 
 
@@ -77,8 +78,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...])
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            size = batch.column(2).fill_null(b"")
-            ends = np.cumsum([len(x) for x in size.to_numpy(zero_copy_only=False)]) if len(size) else np.zeros(0)
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy())
             at = 0
             while at < batch.num_rows:
                 upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
@@ -120,7 +120,9 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     powers, inverse = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-    hashes = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
+    hashes = (sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1]
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
     key = hashes >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)
     key |= np.arange(len(key), dtype=np.uint64)
     least, span = key, 1
@@ -202,14 +204,16 @@ def marks(chunks: DataFrame) -> DataFrame:
                 shard = (h % np.uint64(shards)).astype(np.int64)
                 by = np.lexsort((lo, doc, shard))
                 h, doc, lo, hi, shard = h[by], doc[by], lo[by], hi[by], shard[by]
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+                data = np.frombuffer(b"".join(texts) + bytes(SEGMENT), np.uint8)
+                begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[doc] + lo
+                size = hi - lo + LENGTH
                 cuts = np.searchsorted(shard, np.arange(shards + 1))
+                every = np.lib.stride_tricks.sliding_window_view(data, SEGMENT)
                 for s in np.unique(shard).tolist():
                     w = slice(cuts[s], cuts[s + 1])
-                    size = (hi[w] - lo[w] + LENGTH).astype(np.int64)
-                    at = np.repeat(begin[doc[w]] + lo[w] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    body = _pack(h=h[w], order=order[doc[w]], doc=doc[w].astype(np.int32), lo=lo[w], size=size.astype(np.uint8), data=data[at])
+                    segments = every[begin[w]]
+                    segments[np.arange(SEGMENT) >= size[w, None]] = 0
+                    body = _pack(h=h[w], order=order[doc[w]], doc=doc[w].astype(np.int32), lo=lo[w], size=size[w].astype(np.uint8), data=segments)
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([batch.column(0)[k].as_py()], pa.int64()), pa.array([body], pa.binary())], names=["shard", "chunk", "body"])
 
     segments = chunks.join(answers, "chunk", "left").select("chunk", "body", "shared").mapInArrow(cut, "shard int, chunk long, body binary")
@@ -233,26 +237,37 @@ def marks(chunks: DataFrame) -> DataFrame:
     return segments.groupBy("shard").applyInArrow(judge, "chunk long, body binary")
 
 
+def _distinct(h: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of equal segments, and the kind of each segment."""
+    words = data.view(np.uint64)
+    name = h + size.astype(np.uint64)
+    for k in range(words.shape[1]):
+        name = (name ^ (name >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[:, k]
+    _, first, kind = np.unique(name, return_index=True, return_inverse=True)
+    same = (h == h[first[kind]]) & (size == size[first[kind]])
+    for k in range(words.shape[1]):
+        same &= words[:, k] == words[first[kind], k]
+    if not same.all():  # different segments of one name: told apart by all they are
+        whole = np.concatenate([h[:, None], size[:, None].astype(np.uint64), words], 1)
+        _, first, kind = np.unique(whole, axis=0, return_index=True, return_inverse=True)
+    return first, kind.ravel()
+
+
 def _removed(h: np.ndarray, order: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each segment the part to be removed, from start to end; end is 0 where nothing goes."""
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    grid = np.zeros((len(h), 8 + 1 + SEGMENT + 7 & ~7), np.uint8)
-    grid[:, :8] = h.astype(">u8").view(np.uint8).reshape(-1, 8)
-    grid[:, 8] = size
-    row = np.repeat(np.arange(len(h)), size)
-    grid[row, 9 + np.arange(len(data)) - begin[row]] = data
-    _, first, inverse = np.unique(grid.view(f"V{grid.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    """For each segment the part to be removed, from start to end; end is 0 where nothing goes. data: SEGMENT bytes for
+    each segment, zeros after its size."""
+    first, inverse = _distinct(h, size, data)
     least = np.full(len(first), LAST)
     np.minimum.at(least, inverse, order)
     # the distinct segments one after the other, each ended by a mark below all bytes
     sizes = size[first]
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    own = np.repeat(np.arange(len(first)), sizes + 1)
-    offset = np.arange(len(own)) - starts[own]
-    inside = offset < sizes[own]
-    text = np.ones(len(own) + 1, np.uint16)
-    text[:-1][inside] = data[begin[first][own[inside]] + offset[inside]].astype(np.uint16) + 2
-    text[-1] = 0
+    grid = np.ones((len(first), SEGMENT + 1), np.uint16)
+    grid[:, :SEGMENT] = data[first]
+    grid[:, :SEGMENT] += 2
+    inside = np.arange(SEGMENT + 1) <= sizes[:, None]
+    grid[np.arange(len(first)), sizes] = 1
+    text = np.append(grid[inside], np.uint16(0))
+    own, offset = (x.astype(np.int32) for x in np.nonzero(inside))
     place, prefix = suffixes(text, LENGTH)
     full = place < len(own)
     full[full] = offset[place[full]] <= sizes[own[place[full]]] - LENGTH
