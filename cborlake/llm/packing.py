@@ -22,8 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
@@ -31,35 +32,83 @@ from pyspark.sql import types as T
 from .common import materialize
 
 CAPACITY, END_ID = 1024, 2
-#: Words kept with their ids in each Python worker (about 150 bytes each).
-CACHE = 500_000
-#: Letters for which the word pattern below splits as the tokenizer's own does. Texts with other characters, or
-#: with a special token's string, take the tokenizer's own path.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_OTHER = re.compile(rf"[^\t\n\r -~{_LETTERS}]|<\|endoftext\|>")
-#: The byte-level tokenizer's word pattern, for those characters.
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \t\n\r{_LETTERS}0-9]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+#: Words kept with their ids in each Python worker (about 200 bytes each), twice at most; characters encoded at once.
+CACHE, CHUNK = 600_000, 1_000_000
+#: Letters and marks for which the word pattern below splits as the tokenizer's own does. Texts that have other
+#: characters, or a special token's string, take the tokenizer's own path.
+_LETTERS, _MARKS, _SPECIAL = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~", "<|endoftext|>"
+#: The byte-level tokenizer's word pattern, for those characters; any other one is a word of its own.
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+|[\s\S]")
+_OTHER = re.compile(rf"[^ \t\n\r0-9{_LETTERS}{_MARKS}]")
 
 
 class Encoder:
-    """Texts to ids, as little-endian unsigned 32-bit bytes. Words are encoded once and remembered."""
+    """Texts to ids, as little-endian unsigned 32-bit bytes. Words are encoded once and remembered, in two
+    generations, so that frequent words outlive a full memory. Words that start with a space and a letter part again
+    where they were joined, so that many of them are encoded in one call."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), cache, {}
+        self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), cache, {}, {}
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())])
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, fresh: list[str]) -> None:
+        joined, rest = [], []
+        for w in fresh:
+            if w[0] == " " and w[-1].isalpha():
+                joined.append(w)
+            elif len(w) == 1 and _OTHER.match(w):
+                self.known[w] = None
+            else:
+                rest.append(w)
+        for at in range(0, len(joined), 2048):
+            some = joined[at : at + 2048]
+            (found,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum(self.bytes_of[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in some]), side="left") + 1
+            raw, start = ids.tobytes(), 0
+            for w, cut in zip(some, (4 * cuts).tolist(), strict=True):
+                self.known[w] = raw[start:cut]
+                start = cut
+        for at in range(0, len(rest), 4096):  # what the tokenizer gives back takes much more room than the ids
+            self.known.update(zip(rest[at : at + 4096], self._raw(rest[at : at + 4096]), strict=True))
+
+    def _ids(self, text: str, words: list[str]) -> bytes:
+        if _SPECIAL not in text:
+            try:
+                return b"".join(map(self.known.__getitem__, words))
+            except TypeError:  # a word without ids
+                pass
+        return self._raw([text])[0]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [None if _OTHER.search(t) else _WORDS.findall(t) for t in texts]
-        fresh = list({w for ws in words if ws for w in ws if w not in self.known})
-        if len(fresh) + len(self.known) > self.limit:
-            self.known.clear()
-            fresh = list({w for ws in words if ws for w in ws})
-        self.known.update(zip(fresh, self._raw(fresh), strict=True))
-        return [self._raw([t])[0] if ws is None else b"".join(map(self.known.__getitem__, ws)) for t, ws in zip(texts, words, strict=True)]
+        words = list(map(_WORDS.findall, texts))
+        wanted = set().union(*words)
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        fresh = []
+        for w in wanted - self.known.keys():
+            if ids := self.older.get(w):
+                self.known[w] = ids
+            else:
+                fresh.append(w)
+        self._learn(fresh)
+        return list(map(self._ids, texts, words))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 PIECES = "part int, row long, piece int, start long, length long, nth long, ids binary"
@@ -71,18 +120,15 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part, row = Encoder(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId(), 0
+        encode, seen, part, row = encoder(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = batch.column(0)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids, column = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
             at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) < 4_000_000):
-                    size += len(texts[upto])
-                    upto += 1
+            while at < batch.num_rows:
+                upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK)))
                 out: dict[str, list] = {c: [] for c in ("of", "row", "piece", "start", "length", "nth", "ids")}
-                for k, raw in zip(range(at, upto), encode(texts[at:upto]), strict=True):
+                for k, raw in zip(range(at, min(upto, batch.num_rows)), encode([t or "" for t in column.slice(at, upto - at).to_pylist()]), strict=True):
                     raw += end
                     n, start = len(raw) // 4, 0
                     piece = 0
@@ -179,15 +225,16 @@ def _places(patterns: list[tuple[list[int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def assign(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """id, part, row, piece, start, length, sequence_id, offset for the pieces of a table made by ``pieces``."""
-    light = cut.select(id_col, "part", "row", "piece", "start", "length", "nth")
+def assign(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, **more: Column) -> DataFrame:
+    """id, part, row, piece, start, length, more (columns made of a piece), sequence_id, offset for the pieces of a table
+    made by ``pieces``."""
+    light = cut.select(id_col, "part", "row", "piece", "start", "length", "nth", *[c.alias(n) for n, c in more.items()])
     by_part = materialize(light.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     places = _places(best_two_fit(counts, capacity))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = by_part.select("length", "part", before.alias("before"))
-    numbered = light.join(offsets, ["length", "part"]).select(F.col(id_col).alias("id"), "part", "row", "piece", "start", "length", (F.col("before") + F.col("nth")).alias("number"))
+    numbered = light.join(offsets, ["length", "part"]).select(F.col(id_col).alias("id"), "part", "row", "piece", "start", "length", *more, (F.col("before") + F.col("nth")).alias("number"))
     keys = places[:, 0] << 48 | places[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,11 +167,10 @@ def tokenizer_path() -> str:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ids are taken where the pieces are stored; only numbers are joined to the places."""
+    """Digests of the ids are taken where the pieces are read; ids themselves are not shuffled."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path())
-    digests = cut.select("doc_id", "part", "row", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    places = packing.assign(cut).drop("doc_id", "start", "length")
-    return digests.join(places, ["part", "row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    placed = packing.assign(cut, ids_crc32=F.crc32("ids"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
