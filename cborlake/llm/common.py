@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a batch that goes to Python at once: several copies of one are in memory, on both sides.
+BATCH_BYTES = "8m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Tables that may be given up once a result made of them is written.
 _scratch: list[str] = []
 
@@ -49,7 +66,8 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy", scratch:
     ``release`` if it is scratch."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cborlake-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     if scratch:
         _scratch.append(path)

@@ -42,7 +42,7 @@ MINED, HARD = 2, 3_000
 HARD_WORDS = 6_000
 #: Slots of the table of weights; a subsequence's slot is a hash of its characters.
 SLOTS = 1 << 20
-CACHE = 400_000
+CACHE = 200_000
 LONGEST = 64
 #: Margins beyond these count as these.
 LOWEST, HIGHEST = -1.2, 1.2
@@ -139,8 +139,8 @@ class Reader:
         if len(fresh) + len(self.known) > CACHE:
             self.known.clear()
             fresh = list({w for ws in own for w in ws})
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
+        for at in range(0, len(fresh), 2_000):
+            some = fresh[at : at + 2_000]
             cut = [p for w in some for p in pieces(w)]
             of = np.repeat(np.arange(len(some)), [len(pieces(w)) for w in some])
             best = np.full(len(some), -np.inf)
