@@ -2,14 +2,20 @@
 
 A text is a string of bytes and an end, each coded as the bits of a fixed prefix code that is short for common letters.
 For each context in CONTEXTS (the last bytes, the last bytes of this word, all of this word so far) a predictor
-keeps counts of both outcomes in a hashed table, under the context and the bits so far of this symbol. The predictors'
-logits are mixed by weights that a gate picks: by the place of the bit and by how often the contexts within the
-word were seen. The mixed logit is refined by an adaptive map from (gate, logit) to what came out.
+keeps how often each symbol followed; so the counts of both outcomes of each bit are known. They are kept for every
+context that occurs, by key (54 bits of a hash and the symbol), so that their number grows with the text and contexts do
+not share a place. The predictors' logits are mixed by weights that a gate picks: by the place of the bit and by how
+often the contexts within the word were seen. The mixed logit is refined by an adaptive map from (gate, logit) to what
+came out.
 
 Training is online: a task walks through its documents in steps; each step is predicted with what was learned from the
-steps before it, then weights take a gradient step, the map and the counts are brought up to date. Counts, weights and
-maps of all tasks are then added up, in a tree, so that the model has seen every training byte. Its tables have a
-size fixed by CONTEXTS. In a step, equal contexts with equal outcomes are worked out once; a step is learned in slices.
+steps before it, then weights take a gradient step, the map and the counts are brought up to date. Weights and maps of
+all tasks are then added up, in a tree. In a step, equal contexts with equal outcomes are worked out once; a step is
+learned in slices.
+
+Counts of all tasks meet by key: documents are read in chunks, and the keys of a chunk, each once and with its count in
+training texts, are dealt into buckets of the hash. A bucket adds up the counts of all chunks and gives each chunk the
+cells of its own keys, with which its texts are scored. The model is nowhere in one place.
 
 The base score counts words instead: Laplace's estimate over the training documents' words. Words that occur most (HOT
 at most, of HOT_BYTES at most) are looked up where texts are scored; all others are joined.
@@ -30,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +44,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .textvec import _SPACE, _power, chunks
 
-#: Kinds of context: so many last bytes; so many last bytes of the word, in lower case; the word so far, in lower case. And
-#: the bits of a slot's number in its table.
-CONTEXTS = (("bytes", 1, 16), ("bytes", 3, 20), ("word", 4, 20), ("word", 6, 21), ("word", 1 << 30, 23))
+#: Kinds of context: so many last bytes; so many last bytes of the word, in lower case; the word so far, in lower case.
+CONTEXTS = (("bytes", 1), ("bytes", 3), ("word", 4), ("word", 6), ("word", 1 << 30))
 _TAIL = 6  # last bytes kept of each place
-BLOCK_BITS = 16
-#: Bytes of a step of training, and of texts scored at once.
-STEP, BATCH = 2_500_000, 2_500_000
+#: Bytes of a chunk, of a step of training and of texts scored at once, and of the text whose keys one bucket of a
+#: predictor takes.
+CHUNK, STEP, BUCKET = 8_000_000, 2_500_000, 32_000_000
 #: Bytes worked on at once where it is bytes that are worked on, few enough to stay in a core's cache.
 BLOCK = 1 << 17
 #: Distinct symbols in contexts predicted at once, before what they teach is taken in.
@@ -58,7 +64,7 @@ PRIOR, RATE, BOUND = 0.4, 0.1, 11.0
 CURVED = 4
 #: Cells of the adaptive map for a gate; it learns in the nearest one, and logits in between are interpolated.
 CELLS = 24
-#: Logits of table slots are kept as multiples of this.
+#: Logits of cells are kept as multiples of this.
 UNIT = BOUND / 127
 HOT, HOT_BYTES = 131_072, 64
 #: Words counted in a task before they are handed on.
@@ -89,6 +95,25 @@ def _code() -> tuple[np.ndarray, np.ndarray]:
 
 
 _BITS, _SIZES = _code()
+_DEPTH = int(_SIZES.max())
+
+
+def _places() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols in the order of their codes, the place of each in it, and for each symbol and bit the first place where
+    that bit is one after the same bits. What shares the first bits stands together."""
+    ends = _BITS << (_DEPTH - _SIZES)
+    order = np.argsort(ends)
+    place = np.empty(257, np.int64)
+    place[order] = np.arange(257)
+    middle = np.zeros((257, _DEPTH), np.uint64)
+    for d in range(_DEPTH):
+        own = _SIZES > d
+        middle[own, d] = np.searchsorted(ends[order], (2 * (_BITS[own] >> _SIZES[own] - d) + 1) << (_DEPTH - d - 1))
+    return order, place.astype(np.uint64), middle
+
+
+_ORDER, _PLACE, _MIDDLE = _places()
+_LOW = np.uint64(511)  # bits of a key that have the place
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 
@@ -142,7 +167,7 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray,
     word, before, inside, symbol = (np.concatenate([p[k] for p in parts])[first] for k in range(4))
     lower = before | _capitals(before) >> np.uint64(1)
     contexts = []
-    for k, (kind, size, _) in enumerate(CONTEXTS):
+    for k, (kind, size) in enumerate(CONTEXTS):
         if kind == "bytes":
             h = before & np.uint64((1 << 8 * size) - 1)
         elif size <= _TAIL:
@@ -164,23 +189,75 @@ def _capitals(x: np.ndarray) -> np.ndarray:
     return (over >> np.uint64(1)) & (ones * np.uint64(0x40))
 
 
-def _decisions(symbol: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Place of the bit, rows that have it, its outcome and the slot in each predictor's table."""
+def _key(symbol: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return (context >> np.uint64(1)) & ~_LOW | _PLACE[symbol]
+
+
+def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and which one each is."""
+    codes = pa.array(keys).dictionary_encode()
+    own = codes.dictionary.to_numpy()
+    by = np.argsort(own)
+    turn = np.empty(len(by), np.int32)
+    turn[by] = np.arange(len(by), dtype=np.int32)
+    return own[by], turn[codes.indices.to_numpy()]
+
+
+def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their sums."""
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[by], first) if len(first) else n
+
+
+def _decisions(symbol: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of the bit, rows that have it, and its outcome."""
     rows, bits, sizes = np.arange(len(symbol)), _BITS[symbol], _SIZES[symbol]
-    for d in range(int(_SIZES.max())):
+    for d in range(_DEPTH):
         if d:
             own = np.flatnonzero(sizes > d)
-            rows, bits, sizes, contexts = rows[own], bits[own], sizes[own], [c[own] for c in contexts]
+            rows, bits, sizes = rows[own], bits[own], sizes[own]
         if not len(rows):
             return
-        node = (1 << d | bits >> sizes - d).astype(np.uint64)  # the bits so far, the first on top
-        spread = node * np.uint64(0xBF58476D1CE4E5B9)
-        yield min(d, PLACES - 1), rows, (bits >> sizes - d - 1 & 1).astype(bool), [((c + spread) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - size)).astype(np.int64) for c, (_, _, size) in zip(contexts, CONTEXTS, strict=True)]
+        yield d, rows, (bits >> sizes - d - 1 & 1).astype(bool)
 
 
 def _halves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = counts.view(np.int32).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    """Sorted keys, and how often each occurred."""
+    return counts[0], counts[1].view(np.int64)
+
+
+def _cell(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What cells are worked out from: sorted keys and sums of their counts, which start at 0."""
+    return keys, np.concatenate([[0], np.cumsum(n)])
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where the cells of each key begin; and their number."""
+    return np.concatenate([[0], np.cumsum(_SIZES[_ORDER[(keys & _LOW).astype(np.int64)]])])
+
+
+def _cells(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray) -> np.ndarray:
+    """For each bit of the symbols of sorted keys: the logit in its context in units, times 8, and the level."""
+    keys, sums = table
+    symbol, context, start = _ORDER[(asked & _LOW).astype(np.int64)], asked & ~_LOW, _starts(asked)
+    sizes, bits = _SIZES[symbol], _BITS[symbol]
+    ones, zeros = np.zeros(start[-1], np.int64), np.zeros(start[-1], np.int64)
+    low, high = np.searchsorted(keys, context), np.searchsorted(keys, context + _LOW + np.uint64(1))
+    at = np.flatnonzero(high > low)
+    low, high = low[at], high[at]
+    for d in range(_DEPTH):
+        if not len(at):
+            break
+        middle = np.searchsorted(keys, context[at] + _MIDDLE[symbol[at], d])
+        zeros[start[at] + d], ones[start[at] + d] = sums[middle] - sums[low], sums[high] - sums[middle]
+        one = (bits[at] >> sizes[at] - d - 1 & 1).astype(bool)
+        low, high = np.where(one, middle, low), np.where(one, high, middle)
+        on = np.flatnonzero((high > low) & (sizes[at] > d + 1))
+        at, low, high = at[on], low[on], high[on]
+    units = np.rint(np.clip(_logit(ones, zeros), -BOUND, BOUND) / UNIT).astype(np.int16)
+    return units * np.int16(8) + _level(ones + zeros).astype(np.int16)
 
 
 def _logit(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
@@ -209,7 +286,7 @@ def _mixed(d: int, logits: list[np.ndarray], levels: list[np.ndarray], weights:
     return gate, np.clip(total, -BOUND, BOUND)
 
 
-def _cells(gate: np.ndarray, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _between(gate: np.ndarray, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lower of the two cells a logit lies between, and its share in the upper one."""
     x = (logit + BOUND) * ((CELLS - 1) / (2 * BOUND))
     low = np.minimum(x.astype(np.int64), CELLS - 2)
@@ -228,52 +305,57 @@ class Trainer:
     """What one task learns."""
 
     def __init__(self):
-        # a slot's ones in the low, its zeros in the high half
-        self.counts = [np.zeros(1 << size, np.int64) for _, _, size in CONTEXTS]
+        # for each predictor sorted keys, and the count of each
+        self.counts = [np.zeros((2, 0), np.uint64) for _ in CONTEXTS]
         self.weights, self.map = _start()
         self.seen = np.zeros(GATES)
-        self.late: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def step(self, texts: list[bytes]) -> None:
         symbol, contexts, codes, _ = _keys(texts)
-        times = np.bincount(codes, minlength=len(symbol))
-        n = -(-len(symbol) // SLICE)
+        self.learn(symbol, [_kinds(_key(symbol, c)) for c in contexts], np.bincount(codes, minlength=len(symbol)))
+
+    def learn(self, symbol: np.ndarray, kinds: list[tuple[np.ndarray, np.ndarray]], times: np.ndarray) -> list[np.ndarray]:
+        """kinds: of each predictor the keys and which one each row has; rows of no times teach nothing. Returns how often
+        each key occurred."""
+        cells = [_cells(_cell(*_halves(c)), own) for c, (own, _) in zip(self.counts, kinds, strict=True)]
+        starts = [_starts(own) for own, _ in kinds]
+        rows = np.flatnonzero(times)
+        n = -(-len(rows) // SLICE)
         for at in range(n):  # each slice a cross-section: what comes first in a text is more common than what comes last
-            w = slice(at, None, n)
-            self._learn(symbol[w], [c[w] for c in contexts], times[w])
+            w = rows[at::n]
+            self._learn(symbol[w], cells, [s[kind[w]] for s, (_, kind) in zip(starts, kinds, strict=True)], times[w])
         # counts last: within a step rare symbols come after the common ones of their context, and are not to see them
-        for k, slots, count in self.late:
-            np.add.at(self.counts[k], slots, count)
-        self.late.clear()
-
-    def _learn(self, symbol: np.ndarray, contexts: list[np.ndarray], times: np.ndarray) -> None:
-        for d, rows, outcome, slots in _decisions(symbol, contexts):
+        counted = [np.bincount(kind, times, len(own)).astype(np.int64) for own, kind in kinds]
+        for k, (n, (own, _)) in enumerate(zip(counted, kinds, strict=True)):
+            keys, old = _halves(self.counts[k])
+            own, n = own[n > 0], n[n > 0]
+            at = np.searchsorted(keys, own)
+            known = np.append(keys, ~np.uint64(0))[at] == own
+            old[at[known]] += n[known]
+            self.counts[k] = np.stack([np.insert(keys, at[~known], own[~known]), np.insert(old, at[~known], n[~known]).view(np.uint64)])
+        return counted
+
+    def _learn(self, symbol: np.ndarray, cells: list[np.ndarray], starts: list[np.ndarray], times: np.ndarray) -> None:
+        for d, rows, outcome in _decisions(symbol):
             n = times[rows].astype(np.float64)
-            counts = [_halves(c[s]) for c, s in zip(self.counts, slots, strict=True)]
-            logits = [_logit(*c) for c in counts]
-            gate, mixed = _mixed(d, logits, [_level(counts[k][0] + counts[k][1]) for k in WATCHED], self.weights)
+            own = [c[s[rows] + d] for c, s in zip(cells, starts, strict=True)]
+            logits = [(c >> 3) * np.float32(UNIT) for c in own]
+            gate, mixed = _mixed(min(d, PLACES - 1), logits, [own[k] & 7 for k in WATCHED], self.weights)
             p = _squash(mixed)
             error, some = n * (outcome - p), slice(d % CURVED, None, CURVED)
-            curve, own = CURVED * (n * p * (1 - p))[some], gate[some]
+            curve, its = CURVED * (n * p * (1 - p))[some], gate[some]
             for k, x in enumerate([*logits, np.ones(len(rows), np.float32)]):
-                self.weights[:, k] += RATE * np.bincount(gate, error * x, GATES) / (np.bincount(own, curve * x[some] ** 2, GATES) + 100)
+                self.weights[:, k] += RATE * np.bincount(gate, error * x, GATES) / (np.bincount(its, curve * x[some] ** 2, GATES) + 100)
             np.clip(self.weights, -2, 3, out=self.weights)
             self.seen += np.bincount(gate, n, GATES)
-            low, share = _cells(gate, mixed)
+            low, share = _between(gate, mixed)
             cell = low + (share > 0.5)
             self.map[0] += np.bincount(cell, n * outcome, GATES * CELLS)
             self.map[1] += np.bincount(cell, n, GATES * CELLS)
-            count = times[rows].astype(np.int64) << np.where(outcome, 0, 32)
-            for k, s in enumerate(slots):
-                self.late.append((k, s.astype(np.int32), count))
 
-    def parts(self) -> Iterator[tuple[int, bytes]]:
-        """Block and its counts; block -1 has the weights, times what they have seen, and the map."""
-        yield -1, _pack(weights=self.weights * self.seen[:, None], seen=self.seen, map=self.map - _start()[1])
-        for k, counts in enumerate(self.counts):
-            for b in range(len(counts) >> BLOCK_BITS):
-                if (body := _sparse(*_halves(counts[b << BLOCK_BITS : (b + 1) << BLOCK_BITS]))) is not None:
-                    yield k << 16 | b, body
+    def part(self) -> bytes:
+        """The weights, times what they have seen, and the map."""
+        return _pack(weights=self.weights * self.seen[:, None], seen=self.seen, map=self.map - _start()[1])
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -291,50 +373,51 @@ def _unpack(body: bytes) -> dict[str, np.ndarray]:
         return {k: found[k] for k in found.files}
 
 
-def _sparse(ones: np.ndarray, zeros: np.ndarray) -> bytes | None:
-    at = np.flatnonzero(ones | zeros)
-    return _pack(at=at.astype(np.uint16), ones=ones[at], zeros=zeros[at]) if len(at) else None
+def _planes(numbers: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes())
+
+
+def _numbers(body: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _add(group: pa.Table) -> pa.Table:
-    """Adds up the partial models of a block."""
-    block = group.column("block")[0].as_py()
+    """Adds up partial weights and maps."""
     total: dict[str, np.ndarray] = {}
-    if block >= 0:
-        total = {k: np.zeros(1 << BLOCK_BITS, np.int64) for k in ("ones", "zeros")}
     for body in group.column("body"):
-        part = _unpack(body.as_py())
-        if block >= 0:
-            for k in total:
-                total[k][part["at"]] += part[k]
-        else:
-            total = {k: v + total.get(k, 0) for k, v in part.items()}
-    body = _sparse(total["ones"], total["zeros"]) if block >= 0 else _pack(**total)
-    return pa.table({"block": pa.array([block], pa.int32()), "part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int64()), "body": pa.array([body], pa.binary())})
-
-
-def _cell(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    return (np.rint(np.clip(_logit(ones, zeros), -BOUND, BOUND) / UNIT).astype(np.int16) * 8 + _level(ones + zeros)).astype(np.int16)
+        total = {k: v + total.get(k, 0) for k, v in _unpack(body.as_py()).items()}
+    return pa.table({"part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int64()), "body": pa.array([_pack(**total)], pa.binary())})
 
 
 @dataclass
 class Model:
-    """cells: of each predictor's slots, the logit in units, times 8, and the level; weights; refined: the map's logits."""
+    """tables: of each predictor, keys and sums of counts; weights; refined: the map's logits. Without tables, cells are
+    given by who asks."""
 
-    cells: list[np.ndarray]
+    tables: list[tuple[np.ndarray, np.ndarray]]
     weights: np.ndarray
     refined: np.ndarray
 
     def costs(self, symbol: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """Bits that coding each symbol in its contexts takes."""
+        kinds = [_kinds(_key(symbol, c)) for c in contexts]
+        return self.coded(symbol, [_cells(t, own) for t, (own, _) in zip(self.tables, kinds, strict=True)], [_starts(own)[kind] for own, kind in kinds])
+
+    def coded(self, symbol: np.ndarray, cells: list[np.ndarray], starts: list[np.ndarray]) -> np.ndarray:
+        """starts: where in a predictor's cells those of each symbol begin."""
         out = np.zeros(len(symbol))
         for at in range(0, len(symbol), SLICE):
             w = slice(at, at + SLICE)
-            for d, rows, outcome, slots in _decisions(symbol[w], [c[w] for c in contexts]):
-                cells = [t[s] for t, s in zip(self.cells, slots, strict=True)]
-                logits = [(c >> 3) * np.float32(UNIT) for c in cells]
-                gate, mixed = _mixed(d, logits, [cells[k] & 7 for k in WATCHED], self.weights)
-                low, share = _cells(gate, mixed)
+            for d, rows, outcome in _decisions(symbol[w]):
+                own = [c[s[at + rows] + d] for c, s in zip(cells, starts, strict=True)]
+                logits = [(c >> 3) * np.float32(UNIT) for c in own]
+                gate, mixed = _mixed(min(d, PLACES - 1), logits, [own[k] & 7 for k in WATCHED], self.weights)
+                low, share = _between(gate, mixed)
                 final = 0.5 * mixed + 0.5 * (self.refined[low] * (1 - share) + self.refined[low + 1] * share)
                 out[at + rows] += np.logaddexp(0, np.where(outcome, -final, final)) / math.log(2)
         return out
@@ -346,95 +429,154 @@ class Model:
 
 
 def _model(trained: DataFrame, n_parts: int) -> Model:
-    """Adds up partial models, FAN_IN at a time; what comes to the driver has a fixed size."""
+    """Adds up partial weights and maps, FAN_IN at a time; what comes to the driver has a fixed size."""
     own = trained
     while True:
-        own = own.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("of")).applyInArrow(_add, "block int, part long, body binary")
+        own = own.groupBy(F.floor(F.col("part") / FAN_IN).alias("of")).applyInArrow(_add, "part long, body binary")
         n_parts = -(-n_parts // FAN_IN)
         if n_parts <= 1:
             break
-
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = []
-            for k in range(batch.num_rows):
-                body = batch.column(1)[k].as_py()
-                if batch.column(0)[k].as_py() >= 0:
-                    part = _unpack(body)
-                    body = _pack(at=part["at"], cell=_cell(part["ones"], part["zeros"]))
-                bodies.append(body)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["block", "body"])
-
-    cells = [np.zeros(1 << size, np.int16) for _, _, size in CONTEXTS]
     weights, counts = _start()
-    for row in own.select("block", "body").mapInArrow(shrink, "block int, body binary").toLocalIterator():
+    for row in own.select("body").collect():
         part = _unpack(bytes(row["body"]))
-        if row["block"] >= 0:
-            order, b = row["block"] >> 16, row["block"] & 0xFFFF
-            cells[order][(b << BLOCK_BITS) + part["at"].astype(np.int64)] = part["cell"]
-        else:
-            some = part["seen"] > 0
-            weights[some] = part["weights"][some] / part["seen"][some, None]
-            counts = counts + part["map"]
+        some = part["seen"] > 0
+        weights[some] = part["weights"][some] / part["seen"][some, None]
+        counts = counts + part["map"]
     refined = np.log((counts[0] + 1e-4) / (counts[1] - counts[0] + 1e-4))
-    return Model(cells, weights, np.clip(refined, -BOUND, BOUND))
+    return Model([], weights, np.clip(refined, -BOUND, BOUND))
+
+
+def _chunks(docs: DataFrame, learn, id_col: str, text_col: str) -> DataFrame:
+    """chunk, size (in bytes of text), body: a record batch of id, held_out and text as bytes."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([base + number], pa.int64()), pa.array([size], pa.int64()), pa.array([_write(held)], pa.binary())], names=["chunk", "size", "body"])
+
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                upto = max(at + (not held), int(np.searchsorted(ends, before + CHUNK - size, side="right")))
+                if upto > at:
+                    held.append(batch.slice(at, upto - at))
+                    size += int(ends[upto - 1] - before)
+                if upto < batch.num_rows:
+                    yield row()
+                    number, held, size = number + 1, [], 0
+                at = upto
+        if held:
+            yield row()
+
+    rows = docs.select(F.col(id_col).alias("id"), (~F.coalesce(learn(F.col(id_col)), F.lit(False))).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    return materialize(rows.mapInArrow(gather, "chunk long, size long, body binary"), "chunks", compression="uncompressed")
+
+
+def _write(batches: list[pa.RecordBatch]) -> bytes:
+    sink, batch = io.BytesIO(), pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue()
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
+def _read(body: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(body).read_next_batch()
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, DataFrame]:
-    """The model, and a table of words: token (null: the end) and n, how often it occurs in training texts."""
+def _steps(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]:
+    """First and last text of a step, symbols, each predictor's keys and which one a symbol has, and what else _keys gives."""
+    for a, b in chunks(texts, STEP):
+        symbol, contexts, codes, begins = _keys(texts[a:b])
+        yield a, b, symbol, [_kinds(_key(symbol, c)) for c in contexts], codes, begins
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, DataFrame, DataFrame]:
+    """The model without its counts; a table of words: token (null: the end) and n, how often it occurs in training texts;
+    and chunks with a list of bucket and cells."""
+    found = _chunks(docs, learn, id_col, text_col)
+    size = found.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    top = max(3, math.ceil(math.log2(max(1, size) / BUCKET)))  # bits of a key that say its bucket
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, trainer, words, ends, held = TaskContext.get().partitionId(), None, Counter(), 0, []
-        schema = pa.schema([("part", pa.int64()), ("block", pa.int32()), ("body", pa.binary()), ("token", pa.binary()), ("n", pa.int64())])
+        part, trainer, words, ends = TaskContext.get().partitionId(), Trainer(), Counter(), 0
+        names = {"part": pa.int64(), "bucket": pa.int32(), "chunk": pa.int64(), "body": pa.binary(), "count": pa.binary(), "token": pa.binary(), "n": pa.int64()}
 
-        def counted() -> pa.RecordBatch:
-            k = len(words)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(list(words.keys()), pa.binary()), pa.array(list(words.values()), pa.int64())], schema=schema)
+        def rows(size: int, **columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in names.items()], names=list(names))
 
         for batch in batches:
-            trainer = trainer or Trainer()
-            texts = batch.column(0)
-            at = 0
-            while at < len(texts):
-                some = _bytes(texts.slice(at, 256))
-                at += len(some)
-                ends += len(some)
-                for text in some:
-                    words.update(text.lower().split())
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                docs = _read(body.as_py())
+                texts, learned = docs.column(2).to_pylist(), ~docs.column(1).to_numpy(zero_copy_only=False)
+                for k in np.flatnonzero(learned).tolist():
+                    words.update(texts[k].lower().split())
                     if len(words) > WORDS:
-                        yield counted()
+                        yield rows(len(words), token=list(words.keys()), n=list(words.values()))
                         words.clear()
-                for a, b in chunks(some, STEP):
-                    trainer.step(some[a:b])
+                ends += int(learned.sum())
+                asked: list[list] = [[] for _ in CONTEXTS]
+                for a, b, symbol, kinds, codes, _ in _steps(texts):
+                    own = np.repeat(learned[a:b], [len(t) + 1 for t in texts[a:b]])
+                    counted = trainer.learn(symbol, kinds, np.bincount(codes[own], minlength=len(symbol)))
+                    for k, (keys, _) in enumerate(kinds):
+                        asked[k].append((keys, counted[k]))
+                for k, some in enumerate(asked):
+                    keys, n = _sum(np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some]))
+                    of = (keys >> np.uint64(63 - top)).astype(np.int64)
+                    for w in np.split(np.arange(len(keys)), np.flatnonzero(of[1:] != of[:-1]) + 1):
+                        yield rows(1, bucket=[k << 24 | int(of[w[0]])], chunk=[name], body=[_planes(np.diff(keys[w], prepend=np.uint64(0)))], count=[_planes(n[w])])
         if words:
-            yield counted()
-        if trainer is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([ends], pa.int64())], schema=schema)
-            for block, body in trainer.parts():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int32()), pa.array([body], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())], schema=schema)
-
-    rows = docs.where(learn(F.col(id_col))).select(F.col(text_col).alias("text"))
-    learned = materialize(rows.mapInArrow(read, "part long, block int, body binary, token binary, n long"), "learned", compression="zstd")
+            yield rows(len(words), token=list(words.keys()), n=list(words.values()))
+        if ends:
+            yield rows(1, n=[ends])
+            yield rows(1, part=[part], body=[trainer.part()])
+
+    learned = materialize(found.select("chunk", "body").mapInArrow(read, "part long, bucket int, chunk long, body binary, count binary, token binary, n long"), "learned", compression="zstd")
     n_parts = (learned.agg(F.max("part")).first()[0] or 0) + 1
-    model = _model(learned.where("body IS NOT NULL").select("block", "part", "body"), n_parts)
-    words = learned.where("body IS NULL").groupBy("token").agg(F.sum("n").alias("n"))
-    return model, materialize(words, "words", compression="zstd")
+    model = _model(learned.where("part IS NOT NULL").select("part", "body"), n_parts)
+    words = learned.where("n IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
+    cells = learned.where("bucket IS NOT NULL").select("bucket", "chunk", "body", "count").groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, cells binary")
+    cells = cells.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "cells")).alias("cells"))
+    return model, materialize(words, "words", compression="zstd"), found.join(cells, "chunk").select("body", "cells")
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """Adds up the counts of a bucket's keys, and gives each chunk the cells of its own."""
+    asked = [np.cumsum(_numbers(x.as_py(), np.uint64), dtype=np.uint64) for x in group.column("body")]
+    keys, n = _sum(np.concatenate(asked), np.concatenate([_numbers(x.as_py(), np.int64) for x in group.column("count")]))
+    table = _cell(keys[n > 0], n[n > 0])
+    return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "cells": pa.array([_planes(_cells(table, x)) for x in asked], pa.binary())})
+
+
+def _bits(model: Model, texts: list[bytes], answers: list[dict]) -> np.ndarray:
+    """Bits of a chunk's texts. answers: the cells of its keys by bucket; buckets are in the order of the keys."""
+    steps = list(_steps(texts))
+    cells = [[] for _ in CONTEXTS]
+    for x in sorted(answers, key=lambda x: x["bucket"]):
+        cells[x["bucket"] >> 24].append(_numbers(x["cells"], np.int16))
+    cells = [np.concatenate(c) for c in cells]
+    keys = [np.unique(np.concatenate([kinds[k][0] for _, _, _, kinds, _, _ in steps])) for k in range(len(CONTEXTS))]
+    starts = [_starts(own) for own in keys]
+    out = []
+    for _, _, symbol, kinds, codes, begins in steps:
+        costs = model.coded(symbol, cells, [s[np.searchsorted(all_, own)[kind]] for s, all_, (own, kind) in zip(starts, keys, kinds, strict=True)])
+        out.append(np.add.reduceat(costs[codes], begins))
+    return np.concatenate(out)
 
 
 def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the model's probability of the text) and
     bits_per_byte of each document. learn: a condition on the id; texts are learned from only where it holds."""
-    model, words = train(docs, id_col, text_col, learn)
+    model, words, chunked = train(docs, id_col, text_col, learn)
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     whole = math.log10(total + kinds + 1)
     hot = {bytes(r[0]) if r[0] is not None else None: r[1] for r in words.where(F.coalesce(F.octet_length("token"), F.lit(0)) <= HOT_BYTES).orderBy(F.desc("n"), "token").limit(HOT).collect()}
     # the end is looked up as well
     ends = words.where("token IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    held = docs.sparkSession.sparkContext.broadcast((model, {k: (n, math.log10(n + 1)) for k, n in hot.items() if k is not None}))  # sizes fixed by HOT and CONTEXTS
+    held = docs.sparkSession.sparkContext.broadcast((model, {k: (n, math.log10(n + 1)) for k, n in hot.items() if k is not None}))  # sizes fixed by HOT and GATES
     end_score = math.log10(ends + 1) - whole
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,9 +584,9 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
         base = TaskContext.get().partitionId() << 36
         row = 0
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                some = _bytes(batch.column(2).slice(at, 1024))
+            for at in range(batch.num_rows):
+                ids = _read(batch.column(0)[at].as_py())
+                some = ids.column(2).to_pylist()
                 n_tokens, n_known, base_score, cold_row, cold_token, cold_n = [], [], [], [], [], []
                 for k, text in enumerate(some):
                     own = text.lower().split()
@@ -460,22 +602,19 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
                     n_tokens.append(len(own) + 1)
                     n_known.append(sure)
                     base_score.append(sums)
-                bits = np.concatenate([mix.bits(some[a:b]) for a, b in chunks(some, BATCH)])
+                bits = _bits(mix, some, batch.column(1)[at].as_py())
                 k = len(some)
-                ids = batch.slice(at, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(base + row, base + row + k)), ids.column(0), ids.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(bits), pa.array([len(t) for t in some], pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names=names
                 )
                 c = len(cold_row)
                 if c:
                     yield pa.RecordBatch.from_arrays([pa.array(cold_row, pa.int64()), pa.nulls(c, ids.column(0).type), pa.nulls(c, pa.bool_()), pa.nulls(c, pa.int64()), pa.nulls(c, pa.int64()), pa.nulls(c, pa.float64()), pa.nulls(c, pa.float64()), pa.nulls(c, pa.int64()), pa.array(cold_token, pa.binary()), pa.array(cold_n, pa.int64())], names=names)
-                at += k
                 row += k
 
     names = ["uid", "id", "held_out", "n_tokens", "n_known", "base_score", "bits", "n_bytes", "token", "n"]
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), (~F.coalesce(learn(F.col(id_col)), F.lit(False))).alias("held_out"), F.col(text_col).alias("text"))
-    done = materialize(rows.mapInArrow(read, f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long, token binary, n long"), "scored", compression="zstd")
+    done = materialize(chunked.mapInArrow(read, f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long, token binary, n long"), "scored", compression="zstd")
     cold = done.where("token IS NOT NULL").select("uid", "token", "n").join(words.where("token IS NOT NULL").select("token", F.col("n").alias("c")), "token")
     late = cold.groupBy("uid").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_score"))
     out = done.where("token IS NULL").join(late, "uid", "left")
