@@ -9,9 +9,11 @@ on the input.
    Of each chunk's anchors 4 bytes of hash travel, each once; those seen in two chunks, or in two documents of a
    chunk, are where equal windows can be. Anything else cannot repeat and stays where it is.
 3. The segments around those anchors are dealt into shards by the anchor's hash: all windows that may be equal meet in a
-   shard, whatever document they are from. Equal segments of an anchor are one, with the places where they occur.
-4. A shard's segments are put in suffix order by external induced sorting (module ``induced``), with common
-   prefixes. Neighbours that share LENGTH bytes are one string, the least id among its places is where it stays.
+   shard, whatever document they are from. Of equal segments of a chunk one travels, with the least id that has it and
+   that id's places; where an id of the chunk is larger, all of the segment goes, which needs no other chunk.
+4. A shard's segments are put in suffix order by induced sorting (module ``induced``), with common prefixes. Neighbours
+   that share LENGTH bytes are one string, the least id among its places is where it stays. The different segments of
+   a shard are held in memory; only the queue's spools go to files.
 5. What is to go returns to the chunks as intervals, whose union is cut out of each document.
 
 Defined results: null and empty texts have no bytes and stay. A null id is larger than all others; documents of equal
@@ -207,31 +209,46 @@ def marks(chunks: DataFrame) -> DataFrame:
                 data = np.frombuffer(b"".join(texts) + bytes(SEGMENT), np.uint8)
                 begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[doc] + lo
                 size = hi - lo + LENGTH
-                cuts = np.searchsorted(shard, np.arange(shards + 1))
                 every = np.lib.stride_tricks.sliding_window_view(data, SEGMENT)
-                for s in np.unique(shard).tolist():
-                    w = slice(cuts[s], cuts[s + 1])
-                    segments = every[begin[w]]
-                    segments[np.arange(SEGMENT) >= size[w, None]] = 0
-                    body = _pack(h=h[w], order=order[doc[w]], doc=doc[w].astype(np.int32), lo=lo[w], size=size[w].astype(np.uint8), data=segments)
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([batch.column(0)[k].as_py()], pa.int64()), pa.array([body], pa.binary())], names=["shard", "chunk", "body"])
+                segments = np.empty((len(h), SEGMENT), np.uint8)
+                for a in range(0, len(h), 50_000):
+                    w = slice(a, a + 50_000)
+                    segments[w] = every[begin[w]]
+                    segments[w][np.arange(SEGMENT) >= size[w, None]] = 0
+                name = batch.column(0)[k].as_py()
+                first, kind, least, late = _least(h, order[doc], size, segments)
+                if late.any():  # rides to a shard's number beyond the others, which is the chunk's own
+                    w = np.flatnonzero(late)
+                    body = _pack(doc=doc[w].astype(np.int32), start=lo[w], end=lo[w] + size[w])
+                    yield pa.RecordBatch.from_arrays([pa.array([shards + ((name >> 32) + name) % shards], pa.int32()), pa.array([name], pa.int64()), pa.array([body], pa.binary())], names=["shard", "chunk", "body"])
+                stay = np.flatnonzero(~late)
+                cuts = np.searchsorted(shard[stay], np.arange(shards + 1))
+                for s in np.unique(shard[stay]).tolist():
+                    w = stay[cuts[s] : cuts[s + 1]]
+                    own, turn = np.unique(kind[w], return_inverse=True)
+                    f = first[own]
+                    body = _pack(h=h[f], order=least[own], size=size[f].astype(np.uint8), data=segments[f], kind=turn.astype(np.int32), doc=doc[w].astype(np.int32), lo=lo[w])
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([name], pa.int64()), pa.array([body], pa.binary())], names=["shard", "chunk", "body"])
 
     segments = chunks.join(answers, "chunk", "left").select("chunk", "body", "shared").mapInArrow(cut, "shard int, chunk long, body binary")
 
     def judge(group: pa.Table) -> pa.Table:
+        if group.column("shard")[0].as_py() >= shards:
+            return group.select(["chunk", "body"])
         names = group.column("chunk").to_pylist()
         bodies = [_unpack(x) for x in group.column("body").to_pylist()]
         out = {"chunk": [], "body": []}
         chunk = np.repeat(np.arange(len(bodies)), [len(b["h"]) for b in bodies])
-        f = {k: np.concatenate([b[k] for b in bodies]) for k in ("h", "order", "doc", "lo", "size", "data")}
-        start, end = _removed(f["h"], f["order"], f["size"].astype(np.int64), f["data"])
-        go = np.flatnonzero(end > 0)
-        cuts = np.searchsorted(chunk[go], np.arange(len(bodies) + 1))
-        for c in range(len(bodies)):
-            w = go[cuts[c] : cuts[c + 1]]
+        f = {k: np.concatenate([b[k] for b in bodies]) for k in ("h", "order", "size")}
+        data = np.concatenate([b.pop("data") for b in bodies])
+        start, end = _removed(f["h"], f["order"], f["size"].astype(np.int64), data)
+        cuts = np.searchsorted(chunk, np.arange(len(bodies) + 1))
+        for c, b in enumerate(bodies):
+            own = cuts[c] + b["kind"]
+            w = np.flatnonzero(end[own] > 0)
             if len(w):
                 out["chunk"].append(names[c])
-                out["body"].append(_pack(doc=f["doc"][w], start=f["lo"][w] + start[w], end=f["lo"][w] + end[w]))
+                out["body"].append(_pack(doc=b["doc"][w], start=b["lo"][w] + start[own[w]], end=b["lo"][w] + end[own[w]]))
         return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "body": pa.array(out["body"], pa.binary())})
 
     return segments.groupBy("shard").applyInArrow(judge, "chunk long, body binary")
@@ -253,6 +270,14 @@ def _distinct(h: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.nda
     return first, kind.ravel()
 
 
+def _least(h: np.ndarray, order: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What _distinct gives, the least id of each kind, and which segments have a larger one: all of those goes."""
+    first, kind = _distinct(h, size, data)
+    least = np.full(len(first), LAST)
+    np.minimum.at(least, kind, order)
+    return first, kind, least, order > least[kind]
+
+
 def _removed(h: np.ndarray, order: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each segment the part to be removed, from start to end; end is 0 where nothing goes. data: SEGMENT bytes for
     each segment, zeros after its size."""

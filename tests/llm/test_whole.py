@@ -3,9 +3,10 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
-from cborlake.llm import lm_scoring
+from cborlake.llm import lm_scoring, suffix_dedup
 
 
 def test_contexts_do_not_share_counts():
@@ -39,3 +40,23 @@ def test_counts_of_all_chunks_meet(spark, prose, monkeypatch):
         answers = [{"bucket": x["bucket"], "cells": bytes(x["cells"])} for x in row["cells"]]
         found |= dict(zip(rows.column(0).to_pylist(), lm_scoring._bits(model, rows.column(2).to_pylist(), answers), strict=True))
     assert found == {k: pytest.approx(whole.bits([t.encode()])[0]) for k, t in texts.items()}
+
+
+def test_equal_segments_of_a_chunk_travel_once():
+    text = bytes(random.Random(3).choices(range(97, 123), k=suffix_dedup.SEGMENT))
+    data = np.frombuffer(text * 1_000, np.uint8).reshape(1_000, -1)
+    order = np.arange(1_000)[::-1] // 2  # two of each id
+    first, kind, least, late = suffix_dedup._least(np.ones(1_000, np.uint64), order, np.full(1_000, suffix_dedup.SEGMENT), data)
+    assert len(first) == 1 and least.tolist() == [0] and np.flatnonzero(~late).tolist() == [998, 999]
+
+
+def test_copies_in_and_across_chunks(spark, prose, monkeypatch):
+    """A passage of many documents stays where the id is least, however documents are dealt into chunks."""
+    passage = prose(60, 77)
+    rows = [(k, f"{prose(20, k)} {passage} {prose(20, 500 + k)}") for k in range(120)] + [(0, passage), (None, passage), (7, passage + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted(((r["doc_id"], r["n_bytes"], r["spans"]) for r in suffix_dedup.remove_repeats(docs).collect()), key=repr)
+    for size in (1, 3_000):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", size)
+        assert sorted(((r["doc_id"], r["n_bytes"], r["spans"]) for r in suffix_dedup.remove_repeats(docs).collect()), key=repr) == whole
+    assert all((len(s) == 0) == (i == 0) for i, n, s in whole)
