@@ -60,8 +60,6 @@ PLACES, WATCHED = 8, (4, 2)
 SEEN = (1, 2, 4, 16, 128, 2048)
 GATES = PLACES * (len(SEEN) + 1) ** len(WATCHED)
 PRIOR, RATE, BOUND = 0.4, 0.1, 11.0
-#: The length of a gradient step comes from the curvature of one in so many rows.
-CURVED = 4
 #: Cells of the adaptive map for a gate; it learns in the nearest one, and logits in between are interpolated.
 CELLS = 24
 #: Logits of cells are kept as multiples of this.
@@ -342,10 +340,9 @@ class Trainer:
             logits = [(c >> 3) * np.float32(UNIT) for c in own]
             gate, mixed = _mixed(min(d, PLACES - 1), logits, [own[k] & 7 for k in WATCHED], self.weights)
             p = _squash(mixed)
-            error, some = n * (outcome - p), slice(d % CURVED, None, CURVED)
-            curve, its = CURVED * (n * p * (1 - p))[some], gate[some]
+            error, curve = n * (outcome - p), n * p * (1 - p)
             for k, x in enumerate([*logits, np.ones(len(rows), np.float32)]):
-                self.weights[:, k] += RATE * np.bincount(gate, error * x, GATES) / (np.bincount(its, curve * x[some] ** 2, GATES) + 100)
+                self.weights[:, k] += RATE * np.bincount(gate, error * x, GATES) / (np.bincount(gate, curve * x**2, GATES) + 100)
             np.clip(self.weights, -2, 3, out=self.weights)
             self.seen += np.bincount(gate, n, GATES)
             low, share = _between(gate, mixed)

@@ -60,3 +60,17 @@ def test_copies_in_and_across_chunks(spark, prose, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "CHUNK", size)
         assert sorted(((r["doc_id"], r["n_bytes"], r["spans"]) for r in suffix_dedup.remove_repeats(docs).collect()), key=repr) == whole
     assert all((len(s) == 0) == (i == 0) for i, n, s in whole)
+
+
+def test_weights_do_not_depend_on_the_order_of_rows():
+    """The length of a step is taken from all rows, heavy ones included."""
+    symbol, contexts, codes, _ = lm_scoring._keys([b"the end of the other end", b"a heavy row"])
+    kinds = [lm_scoring._kinds(lm_scoring._key(symbol, c)) for c in contexts]
+    times = np.where(np.arange(len(symbol)) == 5, 10_000, 1)
+    found = []
+    for by in (np.arange(len(symbol)), np.roll(np.arange(len(symbol)), 1)):
+        trainer = lm_scoring.Trainer()
+        for _ in range(2):
+            trainer.learn(symbol[by], [(own, kind[by]) for own, kind in kinds], times[by])
+        found.append(trainer.weights)
+    assert np.allclose(*found)
