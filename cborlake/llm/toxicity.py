@@ -6,8 +6,8 @@ spanned; each word is scaled by a function of its length. A word with inserted o
 of its likeness. Marks inside words fall away first, and letters standing apart in a row are read as one word.
 
 Learning, from labelled sentences: words of sentences from toxic documents that come up after more different words
-than chance explains, and never in clean ones, are the witnesses; with the clean words most like them and further clean
-words they are the landmarks and the examples. The SVM (squared hinge) is linear in the Nystroem features, so that its
+than chance explains, and never in clean ones, are the witnesses, all of them; with the clean words most like them and
+further clean words they are the landmarks and the examples. LANDMARKS says only how many clean landmarks join them. The SVM (squared hinge) is linear in the Nystroem features, so that its
 decision is a weighted sum over landmarks, and thus over subsequences: one table of weights scores a word by
 look-ups. A document's margin is that of its worst word, and a logistic curve through the documents'
 margins gives its score.
@@ -35,7 +35,9 @@ from .common import materialize
 
 SAMPLE = 8_000
 DECAY, GAP = 0.6, 2
-WITNESSES, LANDMARKS, CLEAN_WORDS = 200, 400, 20_000
+LANDMARKS, CLEAN_WORDS = 400, 20_000
+#: Landmarks whose subsequences are laid out at once.
+MARKS = 200
 #: Rounds in which the clean words judged worst join the examples, and how many.
 MINED, HARD = 2, 3_000
 #: Clean examples of a fit, those most like the witnesses.
@@ -169,22 +171,37 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: float = 100.0, steps: int
 
 def fit_words(witnesses: list[str], clean: list[str]) -> tuple[np.ndarray, float]:
     """The table of weights and the bias. clean: words of clean documents."""
-    slots = np.unique(occurrences(witnesses)[1])
-    bad = _features(witnesses, slots)
-    like = _kernel(clean, slots, bad).max(1) if clean else np.zeros(0)
+    slots = np.unique(np.concatenate([np.unique(occurrences(witnesses[at : at + MARKS])[1]) for at in range(0, len(witnesses), MARKS)]))
+    bad = _marks(witnesses, slots)
+    like = np.max([_kernel(clean, own, block).max(1) for own, block in bad], 0) if clean else np.zeros(0)
     hard = [clean[k] for k in np.argsort(-like, kind="stable")[:HARD_WORDS]]
     # landmarks: the witnesses, and the clean words most like them
-    marks = np.vstack([bad, _features(hard[: max(0, LANDMARKS - len(witnesses))], slots)]) if hard else bad
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    some = hard[: max(LANDMARKS // 2, LANDMARKS - len(witnesses))]
+    marks = bad + _marks(some, slots)
+    likeness = lambda words: np.hstack([_kernel(words, own, block) for own, block in marks])
+    among_bad, among_hard = likeness(witnesses), likeness(hard) if hard else np.zeros((0, len(witnesses)), np.float32)
+    gram = np.vstack([among_bad, among_hard[: len(some)]]).astype(np.float64)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     ok = values > 1e-5 * values.max()
     root = vectors[:, ok] / np.sqrt(values[ok])
-    z = np.vstack([bad @ marks.T, _kernel(hard, slots, marks)]) @ root
-    v, bias = _squared_hinge(z, np.concatenate([np.ones(len(bad)), -np.ones(len(hard))]))
-    table = np.zeros(SLOTS)
-    table[slots] = marks.T @ (root @ v)
+    v, bias = _squared_hinge(np.vstack([among_bad, among_hard]) @ root, np.concatenate([np.ones(len(witnesses)), -np.ones(len(hard))]))
+    table, shares, at = np.zeros(SLOTS), root @ v, 0
+    for own, block in marks:
+        table[own] += block.T @ shares[at : at + len(block)]
+        at += len(block)
     return table, bias
 
 
+def _marks(words: list[str], slots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of so many words at a time: those of the slots that they have, and the weights of these."""
+    out = []
+    for at in range(0, len(words), MARKS):
+        some = words[at : at + MARKS]
+        own = np.intersect1d(occurrences(some)[1], slots)
+        out.append((own, _features(some, own)))
+    return out
+
+
 def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve, with a prior count on each side so that clear cases stay finite."""
     m = np.concatenate([np.clip(margin, LOWEST, HIGHEST), [1.0, -1.0]])
@@ -221,7 +238,7 @@ def train(labelled: DataFrame) -> Model:
     # so many contexts in toxic sentences alone are less than one chance word's in the whole vocabulary
     share = toxic / (toxic + (clean or 0) + 1)
     least = max(3, int(np.ceil(np.log(max(2, size)) / -np.log(share))))
-    bad = [r[0] for r in per_word.where((F.col("toxic") >= least) & (F.col("clean") * 50 <= F.col("toxic")) & (F.length("word") > 2)).orderBy(F.desc("toxic"), "word").limit(WITNESSES).collect()]
+    bad = [r[0] for r in per_word.where((F.col("toxic") >= least) & (F.col("clean") * 50 <= F.col("toxic")) & (F.length("word") > 2)).orderBy(F.desc("toxic"), "word").collect()]  # a sample's words
     if not bad:
         return none
     # clean words: half those with most contexts, half any

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from cborlake.llm import lm_scoring, suffix_dedup
+from cborlake.llm import lm_scoring, suffix_dedup, toxicity
 
 
 def test_contexts_do_not_share_counts():
@@ -74,3 +74,14 @@ def test_weights_do_not_depend_on_the_order_of_rows():
             trainer.learn(symbol[by], [(own, kind[by]) for own, kind in kinds], times[by])
         found.append(trainer.weights)
     assert np.allclose(*found)
+
+
+def test_every_insult_is_learned(spark, prose):
+    rng = random.Random(9)
+    insults = ["".join(rng.choices("bcdfghjklmnpqrstvwxyzaeiou", k=9)) for _ in range(260)]
+    around = sorted(set(prose(3_000, 8).split()))
+    # the last ones come up less often than the others
+    rows = [(f"{x} {word}", 1) for k, word in enumerate(insults) for x in rng.sample(around, 40 if k < 210 else 20)]
+    rows += [(prose(60, k), 0) for k in range(2_000)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, y int"))
+    assert model.score(toxicity.Reader(model)(insults)).min() > 0.7 > model.score(toxicity.Reader(model)(around)).max()
