@@ -57,7 +57,7 @@ def _remainder(id_col, n: int):
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns where the remainder is not 0; a score of 0.3 or more is predicted 1."""
     scored = gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda x: _remainder(x, 5) != 0)
-    return scored.select("doc_id", (_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_remainder(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def learns_toxicity(doc_id):
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns where the remainder is not 1; a score of 0.7 or more is predicted 1."""
     scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learns_toxicity)
-    return scored.select("doc_id", (~learns_toxicity(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(~learns_toxicity(F.col("doc_id")), F.lit(True)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def tokenizer_path() -> str:

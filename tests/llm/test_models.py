@@ -1,6 +1,7 @@
 """Language model, classifiers and packing: exact parts against brute force, models by what they get right."""
 
 import collections
+import itertools
 import math
 import random
 import zlib
@@ -126,8 +127,7 @@ def test_toxicity(spark, prose, odd_docs):
     out = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, known, learn).collect()}
     assert np.mean([(out[k] >= 0.7) == bool(y) for k, y in labels if k % 3 == 1]) > 0.98
     model = toxicity.model_of(docs, known, learn)
-    read = toxicity.Reader(model)
-    score = lambda t: model.score(read([t]))[0]
+    score = lambda t: model.score(model.worst([t]))[0]
     for word in ("block-head", "bloxckhead", "b l o c k h e a d", "nincom.poop", "BLOCKHEAD", "scounXdrel"):
         assert score(f"so he said you {word} and left") > score("so he said you water and left") + 0.3, word
     assert score("") < 0.3 and score(prose(2000)) < 0.3
@@ -137,6 +137,76 @@ def test_toxicity(spark, prose, odd_docs):
     assert {r["score"] for r in toxicity.classify(docs, known.limit(0), learn).collect()} == {0.0}
 
 
+def brute_kernel(a, b):
+    """By the definition: subsequences of 4 and 5 characters that begin in a window's own characters, with one gap at most."""
+
+    def features(window):
+        text, own = window
+        out, power = collections.Counter(), 0.0
+        for at in range(own):
+            for n in (4, 5):
+                for rest in itertools.combinations(range(1, n + toxicity.GAP), n - 1):
+                    if at + rest[-1] < len(text) and rest[-1] - n + 1 <= toxicity.GAP:
+                        out["".join(text[at + k] for k in (0, *rest))] += toxicity.DECAY ** (rest[-1] + 1)
+                        power += toxicity.DECAY ** (2 * rest[-1] + 2)
+        return out, max(power, 1e-12) ** 0.5
+
+    (x, px), (y, py) = features(a), features(b)
+    return sum(v * y[u] for u, v in x.items()) / (px * py)
+
+
+def test_string_kernel_and_landmarks(prose):
+    texts = [prose(30, k) + ". You are a blockhead! " + prose(3, 90 + k) for k in range(6)] + ["a", "", "abcd", "no " * 40, "x" * 200]
+    found = toxicity.windows(texts)
+    examples = found.examples(np.arange(len(found.start)))
+    rows = toxicity.occurrences(examples)
+    want = [[brute_kernel(a, b) for b in examples[:12]] for a in examples]
+    some = rows[0] < 12
+    for often in (0, 8, 1000):  # whichever way slots are multiplied
+        got = toxicity.kernel(rows, len(examples), tuple(x[some] for x in rows), 12, often=often, block=64)
+        off = np.abs(got - want)  # subsequences may share a slot
+        assert np.mean(off < 1e-4) > 0.9 and off.max() < 0.05
+    root = toxicity.nystroem(got[:12])
+    features = got[:12] @ root
+    assert np.abs(features @ features.T - got[:12]).max() < 0.01
+
+
+def test_windows_cover_sentences(prose):
+    """Neighbouring words of a sentence share a window, windows do not cross sentences, every letter is in one."""
+    texts = ["One two three. Four five six seven eight nine ten", "a b c d idle\nnext", "", "!?", "w" * 500 + " end", "i-d.i_o't ok", "x. y"]
+    found = toxicity.windows(texts)
+    seen = collections.defaultdict(list)
+    for (text, own), k in zip(found.examples(np.arange(len(found.start))), found.text.tolist(), strict=True):
+        seen[k].append(text[:own])
+    assert seen[0] == [" one two three ", " four five six seven", " six seven eight nine", " eight nine ten "]
+    assert seen[1] == [" abcd idle ", " next "] and 2 not in seen and 3 not in seen and seen[5] == [" idiot ok "] and seen[6] == [" x ", " y "]
+    assert max(map(len, seen[4])) <= 2 + 4 * toxicity.UNIT and sum(map(len, seen[4])) >= 500
+    model = toxicity.Model(np.random.default_rng(0).normal(size=toxicity.SLOTS).astype(np.float32), 0.5, 1.0, 0.0)
+    assert np.allclose(model.worst(texts), [model.worst([t])[0] for t in texts])
+    examples = found.examples(np.arange(len(found.start)))
+    row, slot, weight = toxicity.occurrences(examples)
+    assert np.allclose(model.margins(found), np.bincount(row, weight * model.table[slot], len(examples)) + 0.5, atol=1e-4)
+
+
+def test_phrases_are_learned(spark, prose):
+    """An insult may be made of words that clean documents have, too: none of them tells by itself."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(900):
+        words = prose(rng.randrange(30, 60), 3000 + k).split()
+        phrase = ["go", "back", "home", "now"]
+        if k % 4 == 0:
+            words[rng.randrange(len(words)) : 0] = phrase
+        else:
+            for x in rng.sample(phrase, 4):
+                words.insert(rng.randrange(len(words)), x)
+        rows.append((k, " ".join(words) + ".", int(k % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame([r for r in rows if r[0] % 3], "id long, text string, y int"))
+    held = [r for r in rows if r[0] % 3 == 0]
+    low = model.score(model.worst([r[1] for r in held])) >= 0.7
+    assert np.mean(low == np.array([r[2] for r in held])) > 0.9
+
+
 def test_encoder_equals_the_tokenizer(prose):
     encode = packing.Encoder(tokenizer_path(), cache=50)
     texts = ["", " ", "a  b\n\n c\t\td ’x <|endoftext|> y", " é² 12ab's IT'S it's we'll\r\n x ", "漢字 и текст ", "naïve x", prose(300), "x" * 5000, "\x1c\x85 a", "-- !! ## a_b ~"]
