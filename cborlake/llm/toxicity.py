@@ -29,7 +29,6 @@ from; of rows that repeat an id one is learned from; repeated rows stay. Other c
 
 from __future__ import annotations
 
-import io
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -50,6 +49,8 @@ WORDS, STRIDE, UNIT = 4, 2, 24
 LANDMARKS, HARD, ROUNDS = 1_000, 2_000, 3
 #: What an example on the wrong side of its margin costs the SVM.
 COST = 1.0
+#: Margin of a window that has nothing in common with any example: that of a clean one.
+BIAS = -1.0
 #: Windows of a toxic document that may be examples.
 WITNESSES = 3
 #: One in so many labelled documents is kept out of a second fit, for the curve.
@@ -242,22 +243,19 @@ def nystroem(gram: np.ndarray) -> np.ndarray:
     return vectors[:, ok] / np.sqrt(values[ok])
 
 
-def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear SVM, by Newton's method on the squared hinge."""
-    a = np.hstack([z, np.ones((len(z), 1))])
-    w = np.zeros(a.shape[1])
-    ridge = np.eye(a.shape[1])
-    ridge[-1, -1] = 1e-3
+def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = 25) -> np.ndarray:
+    """Weights of a linear SVM, by Newton's method on the squared hinge; its bias is BIAS."""
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
-        m = y * (a @ w)
+        m = y * (z @ w + BIAS)
         live = m < 1
-        b = a[live]
-        grad = ridge @ w - cost * (b * (y[live] * (1 - m[live]))[:, None]).sum(0)
-        move = np.linalg.solve(ridge + cost * b.T @ b, grad)
+        b = z[live]
+        grad = w - cost * b.T @ (y[live] * (1 - m[live]))
+        move = np.linalg.solve(np.eye(len(w)) + cost * b.T @ b, grad)
         w = w - move
         if np.abs(move).max() < 1e-6:
             break
-    return w[:-1], float(w[-1])
+    return w
 
 
 def disturbed(example: tuple[str, int]) -> tuple[str, int]:
@@ -274,8 +272,8 @@ def disturbed(example: tuple[str, int]) -> tuple[str, int]:
     return " ".join(words), own + grown
 
 
-def fit(bad: list[tuple[str, int]], good: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
-    """The table of weights and the bias, of windows that stand for toxic documents and of clean ones, each kind with those
+def fit(bad: list[tuple[str, int]], good: list[tuple[str, int]]) -> np.ndarray:
+    """The table of weights, of windows that stand for toxic documents and of clean ones, each kind with those
     that matter most first. The toxic ones, and as many clean ones, are examples in disturbed form, too."""
     half = LANDMARKS // 2
     extra = [[disturbed(x) for x in side[: max(HARD, len(bad))]] for side in (bad, good)]
@@ -289,9 +287,8 @@ def fit(bad: list[tuple[str, int]], good: list[tuple[str, int]]) -> tuple[np.nda
     del row, slot, weight
     root = nystroem(likeness[some])
     y = np.concatenate([sign * np.ones(len(side)) for sign, side in ((1, bad), (-1, good), (1, extra[0]), (-1, extra[1]))])
-    v, bias = _squared_hinge(likeness @ root, y)
-    shares = root @ v
-    return np.bincount(marks[1], marks[2] * shares[marks[0]], SLOTS).astype(np.float32), bias
+    shares = root @ _squared_hinge(likeness @ root, y)
+    return np.bincount(marks[1], marks[2] * shares[marks[0]], SLOTS).astype(np.float32)
 
 
 @dataclass
@@ -416,7 +413,7 @@ def _worst(labelled: DataFrame, model: Model, name: str) -> DataFrame:
     return materialize(labelled.select("id", "text", "y", "fold").mapInArrow(read, f"id {kind}, y int, fold int, place int, margin double, text string, own int"), name)
 
 
-def _fitted(examples: DataFrame) -> tuple[np.ndarray, float]:
+def _fitted(examples: DataFrame) -> np.ndarray:
     """fit in one task. examples: y, turn, margin, text, own. Of the clean ones those of the last turn come first, the largest
     margins before; the others are shuffled, as those of large margins are alike."""
 
@@ -427,16 +424,10 @@ def _fitted(examples: DataFrame) -> tuple[np.ndarray, float]:
         sides = [list(dict.fromkeys(r[-2:] for r in side)) for side in (bad, good)]
         if not sides[0] or not sides[1]:
             return
-        table, bias = fit(*sides)
-        out = io.BytesIO()
-        np.savez_compressed(out, table=table, bias=np.array([bias]))
-        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["body"])
+        yield pa.RecordBatch.from_arrays([pa.array([fit(*sides).tobytes()], pa.binary())], names=["body"])
 
     found = examples.select("y", "turn", "margin", "text", "own").coalesce(1).mapInArrow(run, "body binary").collect()
-    if not found:
-        return np.zeros(SLOTS, np.float32), LOWEST
-    with np.load(io.BytesIO(bytes(found[0]["body"]))) as f:
-        return f["table"], float(f["bias"][0])
+    return np.frombuffer(found[0]["body"], np.float32) if found else np.zeros(SLOTS, np.float32)
 
 
 def train(labelled: DataFrame) -> Model:
@@ -457,9 +448,9 @@ def train(labelled: DataFrame) -> Model:
             kept = seen.where("y = 0 AND place < 0").orderBy(F.xxhash64("id"), "id").limit(HARD).select("y", "fold", F.lit(-1).alias("turn"), "margin", "text", "own")
         kept = materialize(kept.unionByName(hard), "clean")
         examples = kept.unionByName(bad)
-        model = Model(*_fitted(examples), 0.0, 0.0)
+        model = Model(_fitted(examples), BIAS, 0.0, 0.0)
     # the curve is that of documents on which a fit without their windows is tried
-    judged = _worst(labelled.where("fold = 0"), Model(*_fitted(examples.where("fold > 0")), 0.0, 0.0), "judged")
+    judged = _worst(labelled.where("fold = 0"), Model(_fitted(examples.where("fold > 0")), BIAS, 0.0, 0.0), "judged")
     judged = judged.where("place = 0").select("y", "margin").orderBy("margin", "y").toArrow()  # SAMPLE rows at most
     if judged.num_rows:
         margin, y = judged.column("margin").to_numpy(), judged.column("y").to_numpy().astype(np.float64)
