@@ -83,8 +83,9 @@ FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))
+    """In the order in which the mix first takes each document; those it does not take come last."""
+    planned = mixing.by_position(mixing.plan(table(spark, sf_dir, "documents")))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "first_position")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,11 +100,56 @@ def test_mixing(spark, prose, counts):
     assert mixing.arrange(docs.limit(0)).count() == 0
 
 
-def test_demand_inverts_the_schedule(spark):
-    for tilt in (-0.9, -0.5, 0.0, 0.8, 1.0):
-        rows = spark.range(101).select((F.col("id") / 100).alias("u")).select("u", mixing.demanded_at(F.col("u"), F.lit(tilt)).alias("x")).collect()
-        assert all(abs(r["x"] + tilt * (r["x"] ** 2 - r["x"]) - r["u"]) < 1e-9 for r in rows)
+SCHEDULES = [((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 3.0)), ((0.0, 2.0), (0.3, 0.0), (0.6, 0.0), (1.0, 5.0)), *mixing.SCHEDULES]
 
 
-def test_hash_of_contract():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_demand_inverts_the_schedule(spark):
+    """Against numerical integration of the weights."""
+    times = np.linspace(0, 1, 200_001)
+    for schedule in SCHEDULES:
+        weight = np.interp(times, *zip(*schedule, strict=True))
+        used = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        points = mixing._points(schedule)
+        rows = spark.range(101).select((F.col("id") / 100).alias("u")).select("u", mixing.demanded_at(F.col("u"), points).alias("x"), mixing.used_by(F.col("u"), points).alias("v")).collect()
+        for r in rows:
+            assert r["v"] == pytest.approx(np.interp(r["u"], times, used / used[-1]), abs=1e-6)
+            assert np.interp(r["x"], times, used / used[-1]) == pytest.approx(r["u"], abs=1e-6)
+    for wrong in (((0.0, 1.0),), ((0.0, 1.0), (0.5, 1.0)), ((0.0, 0.0), (1.0, 0.0)), ((0.0, -1.0), (1.0, 5.0))):
+        with pytest.raises(ValueError):
+            mixing._points(wrong)
+
+
+def test_positions_are_cumulative_words(spark, prose):
+    """Walking through the mix by position, the words used so far are the position's share of all, and a source's share of
+    them follows its schedule."""
+    rows = [(1000 * k + j, s, prose(3 + (7 * j) % 11)) for k, s in enumerate("abc") for j in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.plan(docs, schedules=SCHEDULES[:3]).collect()
+    copies = sorted((p, r["source"], r["size"]) for r in got for p in r["positions"])
+    whole, done, by = sum(c[2] for c in copies), 0, collections.Counter()
+    taken = collections.Counter()
+    for p, s, n in copies:
+        taken[s] += n
+    for p, s, n in copies:
+        assert abs(done / whole - p) < 40 / whole * 3
+        done += n
+        by[s] += n
+        if abs(done / whole - 0.5) < 5e-4:
+            half = dict(by)
+    demand = {s: taken[s] / whole for s in taken}
+    times = np.linspace(0, 1, 100_001)
+    used = {}
+    for s, schedule in zip("abc", SCHEDULES[:3], strict=True):
+        w = np.interp(times, *zip(*schedule, strict=True))
+        used[s] = np.cumsum(w) / w.sum()
+    at = np.searchsorted(sum(demand[s] * used[s] for s in used), 0.5)
+    for s in used:
+        assert half[s] / taken[s] == pytest.approx(used[s][at], abs=0.02)
+
+
+def test_rows_of_one_id_spread(spark):
+    rows = spark.range(3000).selectExpr("cast(NULL AS long) AS doc_id", "'a' AS source", "concat('text ', id) AS text")
+    planned = mixing.plan(rows.unionByName(spark.range(2).selectExpr("1L AS doc_id", "'b' AS source", "'x y' AS text")))
+    ordered = [r["first_position"] for r in mixing.by_position(planned).collect()]
+    known = [p for p in ordered if p is not None]
+    assert ordered[: len(known)] == sorted(known) and len(ordered) == 3002 and len(set(known)) > 2000

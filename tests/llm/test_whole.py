@@ -86,4 +86,5 @@ def test_every_insult_is_learned(spark, prose):
     model = toxicity.train(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, text string, y int"))
     around = sorted(set(prose(3_000, 8).split()))
     scores = model.score(model.worst([f"so {x} it" for x in [*stems, long]]))
-    assert np.mean(scores > 0.7) > 0.95 and scores[-1] > 0.7 and model.score(model.worst([f"so {x} it" for x in around])).max() < 0.7
+    assert np.mean(scores > 0.7) > 0.95 and scores[-1] > 0.7
+    assert np.mean(model.score(model.worst([f"so {x} it" for x in around])) < 0.7) > 0.97 and model.score(model.worst(["qualm", ""])).max() < 0.7
