@@ -1,12 +1,14 @@
 """n-gram Jaccard self-join with Bayesian pruning of candidates.
 
 1. Texts become sets of five-word shingles (64-bit hashes). Texts of one set are a class, counted once.
-2. Classes whose MinHash values agree in one of BANDS bands of ROWS values are candidates; a band's members are tied to
-   its least member, so a band of m members gives m ties and not m * m. With 24 bands of 4, a pair at the threshold
-   itself is missed with a probability of 3e-6, and only if no third text ties the two.
-3. Connected candidates are one group, dealt into tiles. A pair of tiles compares MinHash values step by step;
-   after each step the posterior probability that a pair reaches the threshold, given how many values agree and a
-   uniform prior, is looked up, and pairs for which it fell below TOLERANCE are dropped.
+2. Classes whose MinHash values agree in one of BANDS bands of ROWS values are in a bucket. Buckets of the same members are
+   worked through once. In a bucket MinHash values are compared step by step; after each step the posterior probability
+   that a pair reaches the threshold, given how many values agree and a uniform prior, is looked up, and pairs for which it
+   fell below TOLERANCE are dropped. All members meet the least one first, and only those dropped there meet all others, in
+   tiles, so that a bucket of copies costs no more than its size. With 24 bands of 4, a pair at the threshold itself is
+   missed with a probability of 3e-6, and only if no third text ties the two.
+3. Classes tied by pairs that stay are a group; chance collisions tie nothing. A group is dealt into tiles, and pairs of
+   tiles compare MinHash values once more, as pairs within a group need not have met.
 4. What is left is verified exactly, by intersecting the shingle sets in integers.
 
 Defined results: texts of one to four words have all their words as one shingle; null texts and those without words
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, quoted
 from .components import components
 from .textvec import chunks, shingles
-from .tiles import FOUND, counted, summed, tile_pairs
+from .tiles import FOUND, counted, forest, summed, tile_pairs
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
@@ -106,8 +108,11 @@ def _sets(docs: DataFrame, feats: DataFrame, groups: DataFrame, id_col: str, tex
     return found.mapInArrow(read, "node long, sets binary").dropDuplicates(["node"])  # rows that repeat give a set twice
 
 
+_SIGNED = "array<struct<node:long,sig:binary>>"
+
+
 def candidates(classes: DataFrame) -> DataFrame:
-    """Ties (a, b) between classes that share a band."""
+    """Ties (a, b) between classes that share a band and whose values agree often enough; any two that do are connected."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(ROWS)], np.uint64)
@@ -123,8 +128,71 @@ def candidates(classes: DataFrame) -> DataFrame:
 
     rows = classes.select("node", "sig").mapInArrow(bands, "node long, band long")
     rows = materialize(rows, "bands")
-    shared = rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(shared, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    buckets = rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")).where("n > 1")
+    # of buckets with the same members one is worked through
+    buckets = buckets.groupBy("least", "n", "all").agg(F.min("band").alias("band")).select("band", "least", F.ceil(F.col("n") / TILE).cast("long").alias("n_tiles"))
+    signed = classes.select("node", "sig")
+    members = rows.join(materialize(buckets, "buckets"), "band").join(signed, "node")
+    tiles = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles"))).groupBy("band", "tile").agg(F.first("n_tiles").alias("n_tiles"), F.first("least").alias("least"), F.collect_list(F.struct("node", "sig")).alias("body"))
+    led = tiles.join(signed.select(F.col("node").alias("least"), F.col("sig").alias("lead")), "least").select("band", "tile", "n_tiles", "least", "lead", "body")
+    met = materialize(led.mapInArrow(_meet, f"band long, tile long, a array<long>, b array<long>, body {_SIGNED}, rest {_SIGNED}"), "met")
+    ties = met.select(F.explode(F.arrays_zip("a", "b")).alias("t")).select("t.a", "t.b")
+    left = met.where(F.size("rest") > 0).select("band", "rest")
+    pairs = left.join(met.where("body IS NOT NULL").select("band", "body"), "band").select("rest", "body")
+    late = pairs.repartition(max(8, 4 * classes.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_meet_all, "a long, b long")
+    return ties.unionByName(late).where("a <> b").distinct()
+
+
+def _signatures(members: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    rows = members.values
+    return rows.field("node").to_numpy(), np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def _tied(a: np.ndarray, sig_a: np.ndarray, b: np.ndarray, sig_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a and b that agree with others, each with the least one it is connected with."""
+    i, j = _agree(sig_a, sig_b, False)
+    hits = np.zeros((len(a), len(b)), bool)
+    hits[i, j] = True
+    hits &= a[:, None] != b[None, :]
+    return forest(hits, a, b)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties of the members of a tile with the bucket's least one. Those that are not tied meet all others: here, if the
+    bucket has one tile; otherwise they and the tile's members are handed on."""
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("sig", pa.binary())]))
+    for batch in batches:
+        n_tiles, least = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        out: dict[str, list] = {"a": [], "b": [], "body": [], "rest": []}
+        for k in range(batch.num_rows):
+            node, sig = _signatures(batch.column(5)[k])
+            lead = np.frombuffer(batch.column(4)[k].as_py(), np.uint32)
+            near = np.zeros(len(node), bool)
+            near[_agree(sig, lead[None, :], False)[0]] = True
+            near |= node == least[k]
+            a, b = [node[near]], [np.full(near.sum(), least[k])]
+            rest = None
+            if not near.all():
+                if n_tiles[k] == 1:
+                    found, root = _tied(node[~near], sig[~near], node, sig)
+                    a.append(found)
+                    b.append(root)
+                else:
+                    members = batch.column(5)[k].values
+                    rest = members.filter(pa.array(~near)).to_pylist()
+            out["a"].append(np.concatenate(a))
+            out["b"].append(np.concatenate(b))
+            out["rest"].append(rest)
+            out["body"].append(batch.column(5)[k].values.to_pylist() if n_tiles[k] > 1 else None)
+        arrays = [pa.array(out["a"], pa.list_(pa.int64())), pa.array(out["b"], pa.list_(pa.int64())), pa.array(out["body"], kind), pa.array(out["rest"], kind)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["band", "tile", "a", "b", "body", "rest"])
+
+
+def _meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            a, b = _tied(*_signatures(batch.column(0)[k]), *_signatures(batch.column(1)[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _agree(a: np.ndarray, b: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:

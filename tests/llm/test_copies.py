@@ -91,6 +91,50 @@ def test_texts(spark, odd_docs, prose, monkeypatch):
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_shared_blocks_do_not_tie(spark):
+    """Documents of common blocks, alike by a third at most: chance collisions of a band make no large groups."""
+    rng = random.Random(12)
+    blocks = [" ".join(f"b{k}w{j}" for j in range(60)) for k in range(60)]
+    rows = [(k, " ".join(rng.sample(blocks, 3)) + " " + " ".join(f"own{k}x{j}" for j in range(20))) for k in range(3_000)]
+    rows += [(9_000 + k, rows[k][1] + " tail") for k in range(0, 3_000, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    feats = ngram_join.features(docs, "doc_id", "text")
+    classes = feats.where("key IS NOT NULL").select(F.col("uid").alias("node"), "sig", "key")
+    ties = ngram_join.candidates(classes)
+    groups = components(ties).groupBy("component").count()
+    assert groups.agg(F.max("count")).first()[0] < 60
+    got = {r["doc_id"]: r["class_id"] for r in ngram_join.links(docs).collect()}
+    sets = {k: shingle_set(t) for k, t in rows}
+    assert all(got[9_000 + k] == got[k] for k in range(0, 3_000, 50))
+    for k, c in got.items():  # whatever is in one class is alike
+        if c != k and c != got.get(k - 9_000):
+            assert len(sets[k] & sets[c]) >= 0.5 * len(sets[k] | sets[c])
+
+
+@pytest.mark.parametrize("tile", [2, 16, 512])
+def test_ties_connect_all_that_agree(spark, prose, monkeypatch, tile):
+    """Against all pairs that share a band and agree in the posterior."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng = random.Random(31)
+    rows = []
+    for g in range(5):
+        words = prose(90, 300 + g).split()
+        for k in range(30):
+            own = list(words)
+            for _ in range(rng.randrange(12)):
+                own[rng.randrange(90)] = f"w{rng.randrange(99)}"
+            rows.append((100 * g + k, " ".join(own)))
+    feats = ngram_join.features(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").dropDuplicates(["key"])
+    classes = feats.select(F.col("uid").alias("node"), "sig", "key")
+    found = {r["node"]: np.frombuffer(bytes(r["sig"]), np.uint32) for r in classes.collect()}
+    node, sig = np.array(list(found)), np.stack(list(found.values()))
+    i, j = ngram_join._agree(sig, sig, True)
+    band = (sig[i].reshape(-1, ngram_join.BANDS, ngram_join.ROWS) == sig[j].reshape(-1, ngram_join.BANDS, ngram_join.ROWS)).all(2).any(1)
+    want = roots(node.tolist(), list(zip(node[i[band]].tolist(), node[j[band]].tolist(), strict=True)))
+    got = {r["node"]: r["component"] for r in components(ngram_join.candidates(classes)).collect()}
+    assert {n: got.get(n, n) for n in node.tolist()} == want and len(set(want.values())) > 5
+
+
 @pytest.mark.parametrize("memory", [3, 10**6])
 def test_suffix_order(memory):
     rng = np.random.default_rng(2)
