@@ -29,10 +29,10 @@ from .tiles import FOUND, counted, summed, tile_pairs
 THRESHOLD = 0.9
 #: Vectors of a tile, and rows of a tile compared at once.
 TILE, STRIP = 4096, 512
-#: The tree is laid on so many vectors at most, chosen by the hash of their ids, and has so many leaves at most, and no
-#: more than there are tiles to fill: each pair of leaves that may meet costs two tiles of shuffle. Any tree gives the
+#: The tree has as many leaves as there are tiles to fill, LEAVES at most: each pair of leaves that may meet costs two tiles of
+#: shuffle. It is laid on PER_LEAF vectors a leaf, chosen by the hash of their ids, that fit in TREE_BYTES. Any tree gives the
 #: same links; a good one saves work.
-TREE_SAMPLE, LEAVES = 16_384, 256
+LEAVES, PER_LEAF, TREE_BYTES = 4096, 32, 64 << 20
 #: Leading axes added up before each look at the bound.
 STEPS = (8, 24)
 EPS = 1e-9
@@ -69,17 +69,23 @@ def _moments(vectors: DataFrame, dim: int) -> np.ndarray:
                 total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array(list(total))], names=["axis", "row"])
 
-    rows = vectors.select("v").mapInArrow(add, "axis int, row array<double>")
-    cells = rows.select("axis", F.posexplode("row").alias("k", "x")).groupBy("axis", "k").agg(F.sum("x").alias("x"))
+    def together(group: pa.Table) -> pa.Table:
+        return pa.table({"axis": group.column("axis").slice(0, 1), "row": pa.array([_rows(group.column("row"), dim).sum(0)])})
+
+    rows = vectors.select("v").mapInArrow(add, "axis int, row array<double>").groupBy("axis").applyInArrow(together, "axis int, row array<double>")
     out = np.zeros((dim, dim))
-    for r in cells.collect():  # dim * dim numbers
-        out[r["axis"], r["k"]] = r["x"]
+    for r in rows.collect():  # dim rows
+        out[r["axis"]] = r["row"]
     return out
 
 
+def _rows(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return _matrix(column.combine_chunks(), dim)
+
+
 def _tree(y: np.ndarray, leaves: int) -> list[tuple[int, float]]:
     """Splits (axis, value) of a complete binary tree, in heap order; axis -1 ends a branch."""
-    depth = max(0, min(int(np.log2(max(1, leaves))), int(np.log2(max(1, len(y) / 32)))))
+    depth = max(0, min(int(np.log2(max(1, leaves))), int(np.log2(max(1, len(y) / PER_LEAF)))))
     nodes: list[tuple[int, float]] = []
     level = [y]
     for _ in range(depth):
@@ -192,8 +198,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     turn = np.linalg.eigh(_moments(classes, dim))[1][:, ::-1].copy()
-    some = classes.select("v").orderBy(F.xxhash64("node")).limit(TREE_SAMPLE).toArrow()
     n_leaves = min(LEAVES, -(-classes.count() // TILE))
+    some = classes.select("v").orderBy(F.xxhash64("node")).limit(max(1, min(PER_LEAF * n_leaves, TREE_BYTES // (8 * dim)))).toArrow()
     nodes = _tree(_unit(_matrix(some.column(0).combine_chunks(), dim)) @ turn, n_leaves) if some.num_rows else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,11 +221,13 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([int(g) for g in seen], pa.int64()), pa.array([list(s[0]) for s in seen.values()], pa.list_(pa.float64())), pa.array([list(s[1]) for s in seen.values()], pa.list_(pa.float64())), pa.array([s[2] for s in seen.values()], pa.int64())], names=["grp", "low", "high", "n"])
 
     parts = dealt.select("grp", "y").mapInArrow(bounds, "grp long, low array<double>, high array<double>, n long")
-    cells = parts.select("grp", "n", F.posexplode(F.arrays_zip("low", "high")).alias("k", "x")).groupBy("grp", "k").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.sum("n").alias("n"))
-    boxes: dict[int, list] = {}
-    for r in cells.collect():  # LEAVES * dim rows at most
-        low, high, _ = boxes.setdefault(r["grp"], [np.zeros(dim), np.zeros(dim), r["n"]])
-        low[r["k"]], high[r["k"]] = r["low"], r["high"]
+
+    def box(group: pa.Table) -> pa.Table:
+        low, high = _rows(group.column("low"), dim).min(0), _rows(group.column("high"), dim).max(0)
+        return pa.table({"grp": group.column("grp").slice(0, 1), "low": pa.array([low]), "high": pa.array([high]), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
+
+    kind = "grp long, low array<double>, high array<double>, n long"
+    boxes = {r["grp"]: [np.array(r["low"]), np.array(r["high"]), r["n"]] for r in parts.groupBy("grp").applyInArrow(box, kind).collect()}  # LEAVES rows
     spark = classes.sparkSession
     allowed = spark.createDataFrame(_near([(g, b[0], b[1]) for g, b in boxes.items()], threshold), "grp long, other long")
     counts = F.broadcast(spark.createDataFrame([(g, max(1, -(-b[2] // TILE))) for g, b in boxes.items()], "grp long, n_tiles long"))  # LEAVES rows
