@@ -201,7 +201,7 @@ def occurrences(examples: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(row), np.concatenate(slot), np.concatenate(weight)
 
 
-def kernel(a: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, b: tuple[np.ndarray, np.ndarray, np.ndarray], m: int, often: int = 8, block: int = 2048) -> np.ndarray:
+def kernel(a: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, b: tuple[np.ndarray, np.ndarray, np.ndarray], m: int, often: int = 8, block: int = 1024, strip: int = 4096) -> np.ndarray:
     """The kernel of n examples with m others, both as occurrences. Slots that many of the others have are multiplied as
     blocks of a matrix, the rest one by one."""
     times = np.bincount(b[1], minlength=SLOTS)
@@ -216,11 +216,19 @@ def kernel(a: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, b: tuple[np.nda
         by = at[np.argsort(k[at], kind="stable")]
         dense.append((row[by], k[by], weight[by]))
     for low in range(0, len(common), block):
-        grids = []
-        for (row, k, weight), size in zip(dense, (n, m), strict=True):
-            w = slice(*np.searchsorted(k, [low, low + block]))
-            grids.append(np.bincount(row[w].astype(np.int64) * block + (k[w] - low), weight[w], size * block).astype(np.float32).reshape(size, block))
-        out += grids[0] @ grids[1].T
+        row, k, weight = dense[1]
+        w = slice(*np.searchsorted(k, [low, low + block]))
+        right = np.zeros((m, block), np.float32)
+        np.add.at(right, (row[w], k[w] - low), weight[w])
+        row, k, weight = dense[0]
+        w = slice(*np.searchsorted(k, [low, low + block]))
+        by = np.argsort(row[w], kind="stable")
+        row, k, weight = row[w][by], k[w][by] - low, weight[w][by]
+        for at in range(0, n, strip):  # so many examples at once, as a row of the matrix is long
+            v = slice(*np.searchsorted(row, [at, at + strip]))
+            left = np.zeros((min(strip, n - at), block), np.float32)
+            np.add.at(left, (row[v] - at, k[v]), weight[v])
+            out[at : at + strip] += left @ right.T
     del dense
     rare = (times > 0) & (times <= often)
     own = np.flatnonzero(rare[b[1]])
@@ -245,15 +253,19 @@ def nystroem(gram: np.ndarray) -> np.ndarray:
 
 def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = 25) -> np.ndarray:
     """Weights of a linear SVM, by Newton's method on the squared hinge; its bias is BIAS."""
+    z, y = z.astype(np.float32), y.astype(np.float32)
     w = np.zeros(z.shape[1])
     for _ in range(steps):
-        m = y * (z @ w + BIAS)
-        live = m < 1
-        b = z[live]
-        grad = w - cost * b.T @ (y[live] * (1 - m[live]))
-        move = np.linalg.solve(np.eye(len(w)) + cost * b.T @ b, grad)
+        m = y * (z @ w.astype(np.float32) + np.float32(BIAS))
+        live = np.flatnonzero(m < 1)
+        hessian, grad = np.eye(len(w)), w.copy()
+        for at in range(0, len(live), 4096):
+            k = live[at : at + 4096]
+            hessian += cost * (z[k].T @ z[k])
+            grad -= cost * (z[k].T @ (y[k] * (1 - m[k])))
+        move = np.linalg.solve(hessian, grad)
         w = w - move
-        if np.abs(move).max() < 1e-6:
+        if np.abs(move).max() < 1e-4:
             break
     return w
 
@@ -287,7 +299,9 @@ def fit(bad: list[tuple[str, int]], good: list[tuple[str, int]]) -> np.ndarray:
     del row, slot, weight
     root = nystroem(likeness[some])
     y = np.concatenate([sign * np.ones(len(side)) for sign, side in ((1, bad), (-1, good), (1, extra[0]), (-1, extra[1]))])
-    shares = root @ _squared_hinge(likeness @ root, y)
+    features = likeness @ root.astype(np.float32)
+    del likeness
+    shares = root @ _squared_hinge(features, y)
     return np.bincount(marks[1], marks[2] * shares[marks[0]], SLOTS).astype(np.float32)
 
 
