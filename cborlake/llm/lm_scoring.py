@@ -9,7 +9,9 @@ often the contexts within the word were seen. The mixed logit is refined by an a
 came out.
 
 Training is online: a task walks through its documents in steps; each step is predicted with what was learned from the
-steps before it, then weights take a gradient step, the map and the counts are brought up to date. Weights and maps of
+steps before it, then weights take a gradient step, the map and the counts are brought up to date. The first step, of FIRST
+bytes, has nothing to be predicted from and only gives counts; then steps are as long as all before them, up to STEP, so that
+a task of any size learns weights. Weights and maps of
 all tasks are then added up, in a tree. In a step, equal contexts with equal outcomes are worked out once; a step is
 learned in slices.
 
@@ -50,6 +52,8 @@ _TAIL = 6  # last bytes kept of each place
 #: Bytes of a chunk, of a step of training and of texts scored at once, and of the text whose keys one bucket of a
 #: predictor takes.
 CHUNK, STEP, BUCKET = 8_000_000, 2_500_000, 32_000_000
+#: Bytes of a task's first step.
+FIRST = 8_192
 #: Bytes worked on at once where it is bytes that are worked on, few enough to stay in a core's cache.
 BLOCK = 1 << 17
 #: Distinct symbols in contexts predicted at once, before what they teach is taken in.
@@ -307,6 +311,7 @@ class Trainer:
         self.counts = [np.zeros((2, 0), np.uint64) for _ in CONTEXTS]
         self.weights, self.map = _start()
         self.seen = np.zeros(GATES)
+        self.bytes = 0
 
     def step(self, texts: list[bytes]) -> None:
         symbol, contexts, codes, _ = _keys(texts)
@@ -317,7 +322,8 @@ class Trainer:
         each key occurred."""
         cells = [_cells(_cell(*_halves(c)), own) for c, (own, _) in zip(self.counts, kinds, strict=True)]
         starts = [_starts(own) for own, _ in kinds]
-        rows = np.flatnonzero(times)
+        rows = np.flatnonzero(times) if len(self.counts[0][0]) else np.zeros(0, np.int64)
+        self.bytes += int(times.sum())
         n = -(-len(rows) // SLICE)
         for at in range(n):  # each slice a cross-section: what comes first in a text is more common than what comes last
             w = rows[at::n]
@@ -483,9 +489,21 @@ def _read(body: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(body).read_next_batch()
 
 
-def _steps(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]:
+def _growing(texts: list[bytes], trainer: Trainer) -> Iterator[tuple[int, int]]:
+    """Steps of training: each as long as what the trainer has learned from so far."""
+    at = 0
+    while at < len(texts):
+        most, upto, size = min(STEP, max(FIRST, trainer.bytes)), at + 1, len(texts[at])
+        while upto < len(texts) and size + len(texts[upto]) <= most:
+            size += len(texts[upto])
+            upto += 1
+        yield at, upto
+        at = upto
+
+
+def _steps(texts: list[bytes], trainer: Trainer | None = None) -> Iterator[tuple[int, int, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]:
     """First and last text of a step, symbols, each predictor's keys and which one a symbol has, and what else _keys gives."""
-    for a, b in chunks(texts, STEP):
+    for a, b in chunks(texts, STEP) if trainer is None else _growing(texts, trainer):
         symbol, contexts, codes, begins = _keys(texts[a:b])
         yield a, b, symbol, [_kinds(_key(symbol, c)) for c in contexts], codes, begins
 
@@ -515,7 +533,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, Da
                         words.clear()
                 ends += int(learned.sum())
                 asked: list[list] = [[] for _ in CONTEXTS]
-                for a, b, symbol, kinds, codes, _ in _steps(texts):
+                for a, b, symbol, kinds, codes, _ in _steps(texts, trainer):
                     own = np.repeat(learned[a:b], [len(t) + 1 for t in texts[a:b]])
                     counted = trainer.learn(symbol, kinds, np.bincount(codes[own], minlength=len(symbol)))
                     for k, (keys, _) in enumerate(kinds):

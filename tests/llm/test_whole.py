@@ -88,3 +88,13 @@ def test_every_insult_is_learned(spark, prose):
     scores = model.score(model.worst([f"so {x} it" for x in [*stems, long]]))
     assert np.mean(scores > 0.7) > 0.95 and scores[-1] > 0.7
     assert np.mean(model.score(model.worst([f"so {x} it" for x in around])) < 0.7) > 0.97 and model.score(model.worst(["qualm", ""])).max() < 0.7
+
+
+def test_a_small_task_learns_weights(spark, prose):
+    """One task, less text than a full step."""
+    docs = spark.createDataFrame([(k, prose(120, k)) for k in range(60)], "doc_id long, text string").coalesce(1)
+    model, _, _ = lm_scoring.train(docs, "doc_id", "text", lambda x: x % 5 != 0)
+    weights, _ = lm_scoring._start()
+    assert np.abs(model.weights - weights).max() > 0.05
+    out = {r["held_out"]: (r["s"], r["b"]) for r in lm_scoring.score(docs, lambda x: x % 5 != 0).groupBy("held_out").agg({"score": "sum", "base_score": "sum"}).toDF("held_out", "s", "b").collect()}
+    assert all(s < 0 for s, _ in out.values())
