@@ -352,41 +352,87 @@ def nodes(data: bytes, profile: str = "rfc8949") -> list[Node]:
     return found
 
 
-def to_logical(data: bytes) -> dict:
-    """The value that a canonical item stands for."""
+#: Reasons that only the stricter profile has; whatever else it says, the other one says as well.
+_STRICTER = ("NON_NFC_STRING", "UNREDUCED_NUMERIC")
 
-    def read(at: int) -> tuple[dict, int]:
+
+def decode_both(data: bytes) -> dict[str, tuple[str, str | None, bytes | None]]:
+    """decode_strict under each profile; most items are read once, as the profiles differ in two checks."""
+    dcbor = decode_strict(data, "dcbor")
+    return {"rfc8949": decode_strict(data, "rfc8949") if dcbor[1] in _STRICTER or dcbor[1] == "TRAILING_BYTES" else dcbor, "dcbor": dcbor}
+
+
+def to_logical(data: bytes) -> dict | None:
+    """The value that a canonical item stands for; None if it is not one. Open containers are kept on a stack."""
+    if decode_strict(data, "rfc8949")[0] != "ACCEPT":
+        return None
+    at, open_ = 0, []
+    while True:
         major, arg, width, at = _read_head(data, at)
-        if major == 0:
-            return {"type": "int", "value": str(arg)}, at
-        if major == 1:
-            return {"type": "int", "value": str(-1 - arg)}, at
-        if major in (2, 3):
-            raw = data[at : at + arg]
-            return ({"type": "bytes", "value": raw.hex()} if major == 2 else {"type": "text", "value": raw.decode()}), at + arg
-        if major == 4:
-            items = []
-            for _ in range(arg):
-                item, at = read(at)
-                items.append(item)
-            return {"type": "array", "items": items}, at
-        if major == 5:
-            entries = []
-            for _ in range(arg):
-                key, at = read(at)
-                value, at = read(at)
-                entries.append([key, value])
-            return {"type": "map", "entries": entries}, at
-        if major == 6:
-            inner, at = read(at)
-            if arg in (2, 3) and inner["type"] == "bytes":
-                number = int.from_bytes(bytes.fromhex(inner["value"]), "big") + (arg == 3)
-                return {"type": "bignum", "sign": "negative" if arg == 3 else "positive", "value": str(number)}, at
-            return {"type": "tag", "tag": arg, "value": inner}, at
-        if width:
-            value = struct.unpack({2: ">e", 4: ">f", 8: ">d"}[width], data[at - width : at])[0]
-            text = "NaN" if value != value else ("-" * (value < 0) + "Infinity" if abs(value) == float("inf") else repr(value))
-            return {"type": "float", "width": "auto", "value": text}, at
-        return ({"type": "null"} if arg == 22 else {"type": "bool", "value": arg == 21}), at
-
-    return read(0)[0]
+        value: dict = {}
+        if major < 2:
+            value = {"type": "int", "value": str(arg if major == 0 else -1 - arg)}
+        elif major < 4:
+            raw, at = data[at : at + arg], at + arg
+            value = {"type": "bytes", "value": raw.hex()} if major == 2 else {"type": "text", "value": raw.decode()}
+        elif major < 7 and (arg or major == 6):
+            open_.append((major, arg, arg * (major - 3) if major < 6 else 1, []))
+            continue
+        elif major < 7:
+            value = {"type": "array", "items": []} if major == 4 else {"type": "map", "entries": []}
+        elif width:
+            number = struct.unpack({2: ">e", 4: ">f", 8: ">d"}[width], data[at - width : at])[0]
+            text = "NaN" if number != number else ("-" * (number < 0) + "Infinity" if abs(number) == float("inf") else repr(number))
+            value = {"type": "float", "width": "auto", "value": text}
+        else:
+            value = {"type": "null"} if arg == 22 else {"type": "bool", "value": arg == 21}
+        while open_:
+            major, arg, wanted, children = open_[-1]
+            children.append(value)
+            if len(children) < wanted:
+                break
+            open_.pop()
+            if major == 4:
+                value = {"type": "array", "items": children}
+            elif major == 5:
+                value = {"type": "map", "entries": [list(e) for e in zip(children[::2], children[1::2], strict=True)]}
+            elif children[0]["type"] == "bytes":
+                number = int.from_bytes(bytes.fromhex(children[0]["value"]), "big") + (arg == 3)
+                value = {"type": "bignum", "sign": "negative" if arg == 3 else "positive", "value": _decimal(number)}
+            else:
+                value = {"type": "tag", "tag": arg, "value": children[0]}
+        else:
+            return value
+
+
+def _decimal(number: int) -> str:
+    """Digits of numbers of any length; the interpreter itself refuses very long ones."""
+    if number < 10**4000:
+        return str(number)
+    half = number.bit_length() * 3 // 20
+    high, low = divmod(number, 10**half)
+    return _decimal(high) + _decimal(low).zfill(half)
+
+
+def json_of(value: dict) -> str:
+    """JSON text of a logical value, nested to any depth."""
+    out: list[str] = []
+    work: list = [value]
+    while work:
+        x = work.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x["type"] in ("array", "map", "tag"):
+            if x["type"] == "array":
+                parts, head_, tail = [[i] for i in x["items"]], '{"type":"array","items":[', "]}"
+            elif x["type"] == "map":
+                parts, head_, tail = [["[", k, ",", v, "]"] for k, v in x["entries"]], '{"type":"map","entries":[', "]}"
+            else:
+                parts, head_, tail = [[x["value"]]], f'{{"type":"tag","tag":{x["tag"]},"value":', "}"
+            flat = [head_]
+            for k, part in enumerate(parts):
+                flat += ([","] if k else []) + part
+            work += reversed([*flat, tail])
+        else:
+            out.append(json.dumps(x, ensure_ascii=False, separators=(",", ":")))
+    return "".join(out)

@@ -119,7 +119,13 @@ def _narrow(bits: Column, digits: int, bias: int) -> Column:
 def encode_float(value: Column, width: str = "auto") -> Column:
     """Of a DOUBLE column, under rfc8949: the shortest of f16, f32 and f64 that keeps every bit; or the width asked for,
     null where that one cannot hold the number. NaN has one form."""
-    bits = double_bits(value)
+    if width not in ("auto", "f16", "f32", "f64"):
+        raise ValueError(f"unknown float width: {width!r}")
+    # the bits in an array of their own, so that the call is made once
+    return F.transform(F.array(double_bits(value)), lambda bits: _encode_bits(bits, value, width))[0]
+
+
+def _encode_bits(bits: Column, value: Column, width: str) -> Column:
     half, single = _narrow(bits, 10, 15), _narrow(bits, 23, 127)
     infinite = F.abs(value) == float("inf")
     minus = value < 0
@@ -128,8 +134,6 @@ def encode_float(value: Column, width: str = "auto") -> Column:
         "f32": F.when(infinite, F.when(minus, _item("FAFF800000")).otherwise(_item("FA7F800000"))).otherwise(_bytes("FA", F.hex(single), 4)),
         "f64": _bytes("FB", F.hex(bits), 8),
     }
-    if width not in ("auto", *forms):
-        raise ValueError(f"unknown float width: {width!r}")
     out = F.coalesce(*forms.values()) if width == "auto" else forms[width]
     return F.when(F.isnan(value), _item(NAN)).when(value.isNotNull(), out)
 
@@ -143,10 +147,12 @@ def encode_float_dcbor(value: Column) -> Column:
     """Of a DOUBLE column: whole numbers from -2^63 to 2^64 - 1 become integers, both zeros the integer 0."""
     whole = (value == F.rint(value)) & (value >= -(2.0**63)) & (value < 2.0**64)
     small = F.when(whole & (value < 2.0**63), value).cast("long")
-    # from 2^63 on the bits themselves are shifted, as a cast to a decimal would round
-    fraction = double_bits(value).bitwiseAND(F.lit((1 << 52) - 1)).bitwiseOR(F.lit(1 << 52))
-    large = F.when(whole & (value >= 2.0**63), _bytes("1B", F.hex(F.shiftleft(fraction, 11)), 8))
-    return F.when(F.isnan(value), _item(NAN)).when(F.abs(value) == float("inf"), encode_float(value)).otherwise(F.coalesce(encode_int(small), large, encode_float(value)))
+    def rest(bits: Column) -> Column:
+        # from 2^63 on the bits themselves are shifted, as a cast to a decimal would round
+        fraction = bits.bitwiseAND(F.lit((1 << 52) - 1)).bitwiseOR(F.lit(1 << 52))
+        return F.when(whole & (value >= 2.0**63), _bytes("1B", F.hex(F.shiftleft(fraction, 11)), 8)).otherwise(_encode_bits(bits, value, "auto"))
+
+    return F.coalesce(encode_int(small), F.transform(F.array(double_bits(value)), rest)[0])
 
 
 def encode_array(items: Column, count: Column | None = None) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import codec
-from .columns import check_profile, encode_text
+from .columns import PROFILES, check_profile, encode_text
 
 DECODED = "verdict string, reason string, canonical binary"
 
@@ -47,6 +46,21 @@ def decode_strict(value: Column, profile: str) -> Column:
     return run(value)
 
 
+def decode_both(value: Column) -> Column:
+    """STRUCT<rfc8949, dcbor>, each what ``decode_strict`` gives, of one pass over most items."""
+
+    @F.pandas_udf(", ".join(f"{p}_{f} {t}" for p in PROFILES for f, t in (("verdict", "string"), ("reason", "string"), ("canonical", "binary"))))
+    def run(items: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in items:
+            both = codec.decode_both(bytes(x)) if x is not None else {}
+            rows.append([v for p in PROFILES for v in both.get(p, (None, None, None))])
+        return pd.DataFrame(rows, columns=[f"{p}_{f}" for p in PROFILES for f in ("verdict", "reason", "canonical")], dtype=object)
+
+    flat = run(value)
+    return F.transform(F.array(flat), lambda d: F.struct(*[F.struct(*[d[f"{p}_{f}"].alias(f) for f in ("verdict", "reason", "canonical")]).alias(p) for p in PROFILES]))[0]
+
+
 def result_line(decoded: Column) -> Column:
     """The one-line form of a verdict; errors are an empty line."""
     return (
@@ -67,11 +81,12 @@ def is_valid_json(value: Column) -> Column:
 
 
 def to_logical_json(value: Column) -> Column:
-    """JSON text of the value that an accepted item stands for."""
+    """JSON text of the value that an item stands for; null if it is not accepted."""
 
     @F.pandas_udf("string")
     def run(items: pd.Series) -> pd.Series:
-        return items.map(lambda x: None if x is None else json.dumps(codec.to_logical(bytes(x)), ensure_ascii=False, separators=(",", ":")))
+        found = [None if x is None else codec.to_logical(bytes(x)) for x in items]
+        return pd.Series([None if v is None else codec.json_of(v) for v in found], dtype=object)
 
     return run(value)
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import dynamic
-from .operators import canonical, conformance, corpus
+from .operators import canonical, conformance, corpus, generate, registry
 from .plans import typed
+from .sources import vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -282,8 +283,8 @@ _NAMES = ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _REJECTS.items())
     f"SELECT edit, CASE WHEN a = 'REJECT' THEN edit ELSE a END AS rfc8949, CASE WHEN b = 'REJECT' THEN edit ELSE b END AS dcbor, (SELECT count(*) FROM orders)::BIGINT AS n FROM (VALUES {_NAMES}) AS t(edit, a, b)"
 )
 def reject_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = _edited(spark, sf_dir).select("edit", *[dynamic.decode_strict(F.col("item"), p).alias(p) for p in C.PROFILES])
-    said = lambda p: F.coalesce(F.col(p)["reason"], F.col(p)["verdict"]).alias(p)
+    judged = _edited(spark, sf_dir).select("edit", dynamic.decode_both(F.col("item")).alias("d"))
+    said = lambda p: F.coalesce(F.col("d")[p]["reason"], F.col("d")[p]["verdict"]).alias(p)
     return judged.groupBy("edit", said("rfc8949"), said("dcbor")).agg(F.count("*").alias("n"))
 
 
@@ -349,12 +350,9 @@ def differential_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"type":"map","entries":[[{"type":"text","value":"l_returnflag"},{"type":"text","value":"%s"}],[{"type":"text","value":"l_extendedprice"},{"type":"float","width":"auto","value":"%s"}],[{"type":"text","value":"l_orderkey"},{"type":"int","value":"%s"}]]}',
         "l_returnflag", F.col("l_extendedprice").cast("string"), F.col("l_orderkey").cast("string"),
     )
-    out = None
-    for profile in C.PROFILES:
-        same = typed.encode_struct(rows, profile=profile).eqNullSafe(dynamic.encode_json(as_json, profile))
-        one = rows.select(same.alias("same")).agg(F.count("*").alias("n"), F.count_if(~F.col("same")).alias("different")).select(F.lit(profile).alias("profile"), "n", "different")
-        out = one if out is None else out.unionByName(one)
-    return out
+    same = [typed.encode_struct(rows, profile=p).eqNullSafe(dynamic.encode_json(as_json, p)).alias(p) for p in C.PROFILES]
+    counts = rows.select(*same).agg(F.count("*").alias("n"), *[F.count_if(~F.col(p)).alias(p) for p in C.PROFILES])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), "n", F.col(p).alias("different")) for p in C.PROFILES])).alias("x")).select("x.*")
 
 
 @_query(f"SELECT sha256(unhex({_text('text')})) AS hash, count(*)::BIGINT AS n, min(doc_id) AS doc_id FROM documents GROUP BY 1")
@@ -404,3 +402,145 @@ def validate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     judged = validate(rows.select("event_type", typed.encode_struct(rows).alias("item")), "item", "rfc8949")
     return judged.groupBy("event_type", "verdict").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'F' THEN 'f5' ELSE 'f4' END AS flag, CASE o_orderstatus WHEN 'P' THEN 'f6' WHEN 'F' THEN 'f5' ELSE 'f4' END AS item FROM orders")
+def encode_bool_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = C.encode_bool(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", _hex(flag).alias("flag"), _hex(F.coalesce(flag, C.null_item())).alias("item"))
+
+
+def _forced(x: str) -> str:
+    short, single = _float(x), f"CAST(CAST(({x})::FLOAT AS BIT) AS UINTEGER)"
+    return f"""CASE WHEN len({short}) = 6 THEN {short} END AS f16, CASE WHEN ({x})::FLOAT::DOUBLE = {x} THEN 'fa' || lpad(lower(to_hex({single})), 8, '0') END AS f32,
+      'fb' || lpad(lower(to_hex(CAST(CAST(({x})::DOUBLE AS BIT) AS UBIGINT))), 16, '0') AS f64"""
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, {_forced('l_extendedprice')} FROM lineitem")
+def encode_forced_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("l_extendedprice")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[_hex(C.encode_float(x, w)).alias(w) for w in ("f16", "f32", "f64")])
+
+
+#: Items, and what both profiles say to them: text that is and is not UTF-8, simple values, values of major type 7.
+_JUDGED = {"62c3a9": "ACCEPT", "62c328": "ERROR", "61ff": "ERROR", "63e282": "ERROR", "63eda080": "ERROR", "62c080": "ERROR", "f4": "ACCEPT", "f5": "ACCEPT", "f6": "ACCEPT", "f7": "ERROR", "e0": "ERROR", "f8ff": "ERROR", "ff": "ERROR", "1c": "ERROR", "": "ERROR"}
+
+
+@_query(f"SELECT item, verdict AS rfc8949, verdict AS dcbor FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _JUDGED.items())}) AS t(item, verdict)")
+def text_and_simple_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k,) for k in _JUDGED], "item string")
+    both = rows.select("item", dynamic.decode_both(F.unhex("item")).alias("d"))
+    return both.select("item", *[F.col("d")[p]["verdict"].alias(p) for p in C.PROFILES])
+
+
+_PAIR = '[{"type":"text","value":"%s"},{"type":"%s","value":"'
+
+
+@_query("SELECT c_custkey, '{\"type\":\"map\",\"entries\":[" + _PAIR % ("c_name", "text") + "' || c_name || '\"}]," + _PAIR % ("c_custkey", "int") + "' || c_custkey || '\"}]]}' AS value FROM customer")
+def to_logical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return rows.select("c_custkey", dynamic.to_logical_json(typed.encode_struct(rows)).alias("value"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; where the session names none, a local one (tests)."""
+    import tempfile
+    import uuid
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="cborlake-")
+    return f"{folder}/cborlake-{uuid.uuid4().hex}"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each customer: id, rule, rationale, logical_value and expected_hex."""
+    key = F.format_string('{"type":"int","value":"%d"}', "c_custkey")
+    return _table(spark, sf_dir, "customer").select(F.format_string("v-%07d", "c_custkey").alias("id"), F.when(F.col("c_custkey") % 9 == 0, F.lit("fuzz-generated")).otherwise(F.lit("P1")).alias("rule"), F.lit("shortest").alias("rationale"), key.alias("logical_value"), _hex(C.encode_int(F.col("c_custkey"))).alias("expected_hex"))
+
+
+_VECTORS = f"SELECT printf('v-%07d', c_custkey) AS id, CASE WHEN c_custkey % 9 = 0 THEN 'fuzz-generated' ELSE 'P1' END AS rule, '{{\"type\":\"int\",\"value\":\"' || c_custkey || '\"}}' AS logical_value, {_int('c_custkey')} AS expected_hex FROM customer"
+
+
+@_query(_VECTORS)
+def vectors_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    vectors.write_vectors(_vectors(spark, sf_dir), path)
+    return vectors.read_vectors(spark, path).select("id", "rule", "logical_value", "expected_hex")
+
+
+@_query(f"SELECT id, rule, expected_hex AS input_hex, 'ACCEPT ' || expected_hex AS expected_line, 'ACCEPT ' || expected_hex AS actual FROM ({_VECTORS}) WHERE rule <> 'fuzz-generated' UNION ALL SELECT 'r-' || id, 'TRAILING_BYTES', expected_hex || '18', 'REJECT TRAILING_BYTES', 'REJECT TRAILING_BYTES' FROM ({_VECTORS})")
+def decode_vectors_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decode vectors derived from encode vectors and rejects, run through a registered implementation."""
+    own = _vectors(spark, sf_dir)
+    rejects = own.select(F.concat(F.lit("r-"), "id").alias("id"), F.lit("TRAILING_BYTES").alias("rule"), F.concat("expected_hex", F.lit("18")).alias("input_hex"), F.lit("TRAILING_BYTES").alias("expected_reason"))
+    rows = vectors.decode_vectors(own, rejects)
+    return rows.join(registry.run_decode(rows, "dynamic", "rfc8949"), "id").select("id", "rule", "input_hex", "expected_line", "actual")
+
+
+@_query(f"SELECT a.adapter, id, expected_hex AS actual FROM ({_VECTORS}), (SELECT unnest(['dynamic', 'dynamic-strict']) AS adapter) AS a")
+def vectors_by_implementation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with each registered implementation, and what that one gives."""
+    pairs = conformance.cross(_vectors(spark, sf_dir), registry.table(spark), "rfc8949")
+    out = None
+    for name in ("dynamic", "dynamic-strict"):
+        some = pairs.where(F.col("adapter") == name)
+        one = registry.run_encode(some, name, "rfc8949").select(F.lit(name).alias("adapter"), "id", "actual")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query(f"SELECT expected_hex AS input_hex, expected_hex AS item FROM ({_VECTORS})")
+def hex_lines_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written with blank ones among them, and read without these."""
+    path = _scratch(spark)
+    own = _vectors(spark, sf_dir).select("expected_hex")
+    vectors.write_lines(own.unionByName(own.select(F.lit("").alias("expected_hex"))), "expected_hex", path)
+    return vectors.read_hex_lines(spark, path).select("input_hex", _hex(F.col("item")).alias("item"))
+
+
+@_query(f"SELECT logical_value, expected_hex AS item FROM ({_VECTORS})")
+def value_lines_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    vectors.write_lines(_vectors(spark, sf_dir), "logical_value", path)
+    return vectors.read_value_lines(spark, path).select("logical_value", _hex(dynamic.encode_json(F.col("logical_value"), "rfc8949")).alias("item"))
+
+
+@_query(f"SELECT id, adapter, rule FROM ({_RESULTS}) WHERE NOT passed ORDER BY id LIMIT 20")
+def first_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conformance.mismatches(_results(spark, sf_dir)).select("id", "adapter", "rule")
+
+
+@_query(f"SELECT adapter, bool_and(passed) AS passed FROM ({_RESULTS}) GROUP BY adapter")
+def gate_by_implementation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _results(spark, sf_dir)
+    return spark.createDataFrame([(a, conformance.all_passed(rows.where(F.col("adapter") == a))) for a in ("typed", "lossy")], "adapter string, passed boolean")
+
+
+@_query(f"SELECT adapter, rule, total, CASE adapter WHEN 'typed' THEN total ELSE passed END AS passed FROM ({_REPORT})")
+def merged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An early report in which nothing passed gives way to the later one."""
+    late = conformance.report(_results(spark, sf_dir))
+    early = conformance.report(_results(spark, sf_dir).where("adapter = 'typed'").withColumn("passed", F.lit(False)))
+    return conformance.merge(early, late).select("adapter", "rule", "total", "passed")
+
+
+@_query(f"SELECT 'candidates' AS stage, count(*)::BIGINT AS n FROM customer UNION ALL SELECT 'agreed', count(*) FILTER (WHERE c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0) FROM customer UNION ALL SELECT 'mismatched', count(*) FILTER (WHERE c_custkey % 4 <> 0 AND c_custkey % 5 = 0 AND c_custkey % 7 <> 0) FROM customer")
+def oracle_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the oracle refuses (every fourth) or an implementation leaves out (every seventh) is neither; every fifth differs."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), _hex(C.encode_int(F.col("c_custkey"))).alias("hex"))
+    oracle = rows.select("id", F.when(F.col("id") % 4 != 0, F.col("hex")).alias("oracle_hex"))
+    candidates = rows.select("id", F.when(F.col("id") % 7 == 0, F.lit("")).when(F.col("id") % 5 == 0, F.lit("00ff")).otherwise(F.col("hex")).alias("actual_hex"))
+    agreed, mismatched = corpus.agreed(candidates, oracle)
+    return corpus.stage_counts(candidates=candidates, agreed=agreed, mismatched=mismatched)
+
+
+@_query("SELECT 'ACCEPT' AS verdict, 2000::BIGINT AS n, true AS follows_grammar, true AS same")
+def generated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded random values: they follow the grammar, are accepted once encoded, and come back as the same bytes."""
+    rows = generate.values(spark, 2000, known_tags=True)
+    item = rows.select(dynamic.is_valid_json(F.col("logical_value")).alias("follows_grammar"), dynamic.encode_json(F.col("logical_value"), "dcbor").alias("item"))
+    judged = item.select("follows_grammar", "item", dynamic.decode_strict(F.col("item"), "dcbor")["verdict"].alias("verdict"), dynamic.encode_json(dynamic.to_logical_json(F.col("item")), "dcbor").alias("back"))
+    return judged.groupBy("verdict").agg(F.count("*").alias("n"), F.bool_and("follows_grammar").alias("follows_grammar"), F.bool_and(F.col("item") == F.col("back")).alias("same"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +71,22 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.write.json(path)
+    """Files that hold a JSON array each, with logical_value (JSON text) as a nested value: what ``read_vectors`` reads."""
+    others = F.to_json(F.struct(*["`" + c.replace("`", "``") + "`" for c in vectors.columns if c != "logical_value"]))
+    value = F.col("logical_value") if "logical_value" in vectors.columns else F.lit(None).cast("string")
+    nested = F.concat(F.lit('{"logical_value":'), value, F.when(others == "{}", "}").otherwise(F.concat(F.lit(","), F.substr(others, F.lit(2)))))
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = 0
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array([("," if lines + k else "[") + t for k, t in enumerate(texts)])], names=["value"])
+                lines += len(texts)
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    vectors.select(F.coalesce(nested, others).alias("value")).mapInArrow(arrays, "value string").write.text(path)
 
 
 def render_dashboard(overall: list, by_rule: list) -> str:
