@@ -122,7 +122,7 @@ def encode_float(value: Column, width: str = "auto") -> Column:
     if width not in ("auto", "f16", "f32", "f64"):
         raise ValueError(f"unknown float width: {width!r}")
     # the bits in an array of their own, so that the call is made once
-    return F.transform(F.array(double_bits(value)), lambda bits: _encode_bits(bits, value, width))[0]
+    return F.transform(F.array(double_bits(F.coalesce(value, F.lit(0.0)))), lambda bits: _encode_bits(bits, value, width))[0]
 
 
 def _encode_bits(bits: Column, value: Column, width: str) -> Column:
@@ -152,7 +152,7 @@ def encode_float_dcbor(value: Column) -> Column:
         fraction = bits.bitwiseAND(F.lit((1 << 52) - 1)).bitwiseOR(F.lit(1 << 52))
         return F.when(whole & (value >= 2.0**63), _bytes("1B", F.hex(F.shiftleft(fraction, 11)), 8)).otherwise(_encode_bits(bits, value, "auto"))
 
-    return F.coalesce(encode_int(small), F.transform(F.array(double_bits(value)), rest)[0])
+    return F.coalesce(encode_int(small), F.transform(F.array(double_bits(F.coalesce(value, F.lit(0.0)))), rest)[0])
 
 
 def encode_array(items: Column, count: Column | None = None) -> Column:
