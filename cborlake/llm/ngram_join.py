@@ -137,7 +137,10 @@ def candidates(classes: DataFrame) -> DataFrame:
     led = tiles.join(signed.select(F.col("node").alias("least"), F.col("sig").alias("lead")), "least").select("band", "tile", "n_tiles", "least", "lead", "body")
     met = materialize(led.mapInArrow(_meet, f"band long, tile long, a array<long>, b array<long>, body {_SIGNED}, rest {_SIGNED}"), "met")
     ties = met.select(F.explode(F.arrays_zip("a", "b")).alias("t")).select("t.a", "t.b")
-    left = met.where(F.size("rest") > 0).select("band", "rest")
+    # what is left of a bucket's tiles comes together, so that it meets each tile once
+    alone = met.select("band", F.explode("rest").alias("r"))
+    alone = alone.join(alone.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("long").alias("n")), "band")
+    left = alone.groupBy("band", F.pmod(F.xxhash64("r.node"), F.col("n")).alias("part")).agg(F.collect_list("r").alias("rest"))
     pairs = left.join(met.where("body IS NOT NULL").select("band", "body"), "band").select("rest", "body")
     late = pairs.repartition(max(8, 4 * classes.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_meet_all, "a long, b long")
     return ties.unionByName(late).where("a <> b").distinct()
@@ -160,32 +163,32 @@ def _tied(a: np.ndarray, sig_a: np.ndarray, b: np.ndarray, sig_b: np.ndarray) ->
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ties of the members of a tile with the bucket's least one. Those that are not tied meet all others: here, if the
     bucket has one tile; otherwise they and the tile's members are handed on."""
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("sig", pa.binary())]))
     for batch in batches:
         n_tiles, least = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        out: dict[str, list] = {"a": [], "b": [], "body": [], "rest": []}
+        members = batch.column(5)
+        out: dict[str, list] = {"a": [], "b": []}
+        rest: list[np.ndarray] = []  # places among the members of the batch
         for k in range(batch.num_rows):
-            node, sig = _signatures(batch.column(5)[k])
+            node, sig = _signatures(members[k])
             lead = np.frombuffer(batch.column(4)[k].as_py(), np.uint32)
-            near = np.zeros(len(node), bool)
+            near = node == least[k]
             near[_agree(sig, lead[None, :], False)[0]] = True
-            near |= node == least[k]
-            a, b = [node[near]], [np.full(near.sum(), least[k])]
-            rest = None
-            if not near.all():
-                if n_tiles[k] == 1:
-                    found, root = _tied(node[~near], sig[~near], node, sig)
-                    a.append(found)
-                    b.append(root)
-                else:
-                    members = batch.column(5)[k].values
-                    rest = members.filter(pa.array(~near)).to_pylist()
+            a, b, far = [node[near]], [np.full(near.sum(), least[k])], np.zeros(0, np.int64)
+            if not near.all() and n_tiles[k] == 1:
+                found, root = _tied(node[~near], sig[~near], node, sig)
+                a.append(found)
+                b.append(root)
+            elif not near.all():
+                far = members.offsets[k].as_py() + np.flatnonzero(~near)
             out["a"].append(np.concatenate(a))
             out["b"].append(np.concatenate(b))
-            out["rest"].append(rest)
-            out["body"].append(batch.column(5)[k].values.to_pylist() if n_tiles[k] > 1 else None)
-        arrays = [pa.array(out["a"], pa.list_(pa.int64())), pa.array(out["b"], pa.list_(pa.int64())), pa.array(out["body"], kind), pa.array(out["rest"], kind)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["band", "tile", "a", "b", "body", "rest"])
+            rest.append(far)
+        ties = [pa.array(out[c], pa.list_(pa.int64())) for c in "ab"]
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rest])]), pa.int32())
+        left = pa.ListArray.from_arrays(ends, members.values.take(pa.array(np.concatenate([*rest, np.zeros(0, np.int64)]), pa.int64())))
+        large = np.flatnonzero(np.array(n_tiles) > 1) if n_tiles else np.zeros(0, np.int64)
+        body = members.take(pa.array([k if n > 1 else None for k, n in enumerate(n_tiles)], pa.int64())) if len(large) else pa.nulls(batch.num_rows, members.type)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ties, body.cast(left.type), left], names=["band", "tile", "a", "b", "body", "rest"])
 
 
 def _meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
