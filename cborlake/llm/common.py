@@ -32,10 +32,13 @@ def words_of(text):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none, a local one is set (tests)."""
+    """The folder all executors share. Only where a local session names none, a local one is set (tests); a cluster has to
+    name one, as no other executor would see what is written elsewhere."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         found = "file://" + tempfile.mkdtemp(prefix="cborlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

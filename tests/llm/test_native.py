@@ -1,7 +1,6 @@
 """Quality rules, chat formatting, mixing."""
 
 import collections
-import hashlib
 import re
 
 import numpy as np
