@@ -205,6 +205,12 @@ def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own[by], turn[codes.indices.to_numpy()]
 
 
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct keys of sorted lists, which a stable sort merges."""
+    keys = np.sort(np.concatenate(parts), kind="stable")
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and their sums."""
     by = np.argsort(keys, kind="stable")
@@ -573,7 +579,7 @@ def _bits(model: Model, texts: list[bytes], answers: list[dict]) -> np.ndarray:
     for x in sorted(answers, key=lambda x: x["bucket"]):
         cells[x["bucket"] >> 24].append(_numbers(x["cells"], np.int16))
     cells = [np.concatenate(c) for c in cells]
-    keys = [np.unique(np.concatenate([kinds[k][0] for _, _, _, kinds, _, _ in steps])) for k in range(len(CONTEXTS))]
+    keys = [_merged([kinds[k][0] for _, _, _, kinds, _, _ in steps]) for k in range(len(CONTEXTS))]
     starts = [_starts(own) for own in keys]
     out = []
     for _, _, symbol, kinds, codes, begins in steps:
