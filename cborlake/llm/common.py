@@ -50,13 +50,17 @@ BATCH_BYTES = "8m"
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, BATCH_BYTES)
+    """Within it batches to Python are small, and the shuffle files of a query go when it has ended, not when the driver
+    happens to collect its garbage."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 #: Tables that may be given up once a result made of them is written.
@@ -86,6 +90,14 @@ def release(docs: DataFrame) -> None:
         _remove(docs.sparkSession, path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table made by ``materialize`` that nothing reads any more."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in [p for p in _scratch if any(f.endswith(p.rsplit("/", 1)[1]) for f in folders)]:
+        _scratch.remove(path)
+        _remove(df.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None:

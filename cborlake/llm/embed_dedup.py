@@ -6,6 +6,9 @@ tiles; leaves whose boxes lie farther apart than two vectors of the wanted cosin
 tiles adds up products over the leading axes first; what the remaining axes can add is bounded by the product of
 the suffix norms, and pairs that cannot reach the threshold any more leave. The rest are decided by the full
 product in double precision, those within rounding of the threshold by the plain sum over the given components.
+Tiles go to work in blocks, each pair of blocks that has leaves to be compared being one group of tiles, and as many
+pairs of blocks at a time as take about the room of the tiles themselves: the shuffle files of a round go with it, so
+that the disk needed grows with the vectors and not with the pairs of tiles.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components, or whose id is null,
 links with nothing and stands alone. Vectors of different lengths do not link. Rows with equal ids count as vectors
@@ -16,23 +19,25 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
-from .tiles import FOUND, counted, summed, tile_pairs
+from .tiles import FOUND, counted, summed
 
 THRESHOLD = 0.9
 #: Vectors of a tile, and rows of a tile compared at once.
 TILE, STRIP = 4096, 512
-#: The tree has as many leaves as there are tiles to fill, LEAVES at most: each pair of leaves that may meet costs two tiles of
-#: shuffle. It is laid on PER_LEAF vectors a leaf, chosen by the hash of their ids, that fit in TREE_BYTES. Any tree gives the
-#: same links; a good one saves work.
+#: The tree has as many leaves as there are tiles to fill, LEAVES at most. It is laid on PER_LEAF vectors a leaf, chosen by the
+#: hash of their ids, that fit in TREE_BYTES. Any tree gives the same links; a good one saves work.
 LEAVES, PER_LEAF, TREE_BYTES = 4096, 32, 64 << 20
+#: Bytes of a block of tiles, one tile at least, and the least that is sent in a round; a round sends the bytes of all tiles or so.
+BLOCK_BYTES, ROUND_BYTES = 16 << 20, 256 << 20
 #: Leading axes added up before each look at the bound.
 STEPS = (8, 24)
 EPS = 1e-9
@@ -113,19 +118,45 @@ def _leaf(y: np.ndarray, nodes: list[tuple[int, float]]) -> np.ndarray:
     return at
 
 
-def _near(boxes: list[tuple[int, np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
-    """Pairs of leaves whose boxes are no farther apart than two unit vectors of that cosine."""
-    if not boxes:
-        return []
-    leaf, low, high = (np.array([b[k] for b in boxes]) for k in range(3))
-    out = []
-    for i in range(len(leaf)):
+def _near(low: np.ndarray, high: np.ndarray, threshold: float) -> np.ndarray:
+    """Which leaves' boxes are no farther apart than two unit vectors of that cosine."""
+    out = np.zeros((len(low), len(low)), bool)
+    for i in range(len(low)):
         gap = np.maximum(0, np.maximum(low[i] - high, low - high[i]))
-        ok = (gap * gap).sum(1) <= 2 - 2 * threshold + EPS
-        out += [(int(leaf[i]), int(leaf[j])) for j in np.flatnonzero(ok) if j > i]
+        out[i] = (gap * gap).sum(1) <= 2 - 2 * threshold + EPS
     return out
 
 
+def _units(leaf: np.ndarray, near: np.ndarray, block: int) -> Iterator[list[tuple[int, list[int]]]]:
+    """Groups of tiles to be sent together, (tile, places in the group that it meets): one for each two blocks of tiles that
+    have any to compare. leaf: of each tile, in the order of tiles; near: of leaves. Every two tiles of near leaves meet once."""
+    starts = np.arange(0, len(leaf), block)
+    for a in starts:
+        left = np.arange(a, min(a + block, len(leaf)))
+        any_near = near[np.unique(leaf[left])].any(0)[leaf]
+        for b in starts[(starts >= a) & np.logical_or.reduceat(any_near, starts)]:
+            right = np.arange(b, min(b + block, len(leaf)))
+            meet = near[np.ix_(leaf[left], leaf[right])]
+            if a == b:
+                yield [(int(t), [int(j) for j in np.flatnonzero(meet[k]) if j >= k]) for k, t in enumerate(left)]
+            elif meet.any():
+                i, j = np.flatnonzero(meet.any(1)), np.flatnonzero(meet.any(0))
+                group = [(int(left[k]), [len(i) + int(x) for x in np.flatnonzero(meet[k][j])]) for k in i]
+                yield group + [(int(right[k]), []) for k in j]
+
+
+def _rounds(units: Iterator[list[tuple[int, list[int]]]], most: int) -> Iterator[list[tuple[int, int, int, list[int]]]]:
+    """Rows (unit, place, tile, meets) of as many units as hold that many tiles; one unit at least."""
+    rows: list[tuple[int, int, int, list[int]]] = []
+    for unit, group in enumerate(units):
+        if rows and len(rows) + len(group) > most:
+            yield rows
+            rows = []
+        rows += [(unit, place, tile, meets) for place, (tile, meets) in enumerate(group)]
+    if rows:
+        yield rows
+
+
 def _hits(a: np.ndarray, b: np.ndarray | None, turn: np.ndarray, threshold: float) -> np.ndarray:
     """Which vectors of a are linked with which of b (of a, if b is None; none with itself)."""
     ua = _unit(a.astype(np.float64))
@@ -176,19 +207,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """For each row: id, n_links, component_id (least id reachable by links) and kept (id = component_id)."""
     v = F.col(vector_col)
     odd = v.isNull() | F.col(id_col).isNull() | (F.size(v) == 0) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = materialize(vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.when(~F.coalesce(odd, F.lit(True)), v).alias("v")), "vectors")
-    good = rows.where("v IS NOT NULL")
-    classes = materialize(good.groupBy("v").agg(F.min("uid").alias("node"), F.count("*").alias("n")), "classes")
-    found = None
-    for dim in sorted(r[0] for r in classes.select(F.size("v")).distinct().collect()):
-        part = _links(classes.where(F.size("v") == dim), dim, threshold)
-        found = part if found is None else found.unionByName(part)
-    member = good.join(classes.select("v", "node", "n"), "v").select("uid", "id", "node", "n")
-    alone = rows.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if found is None:
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(~F.coalesce(odd, F.lit(True)), v).alias("v"))
+    digest = F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
+    # vectors travel here and to their tiles; all else is done by 128 bits of hash
+    same = rows.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    classes = materialize(same.select(F.monotonically_increasing_id().alias("node"), "n", "v", digest.alias("digest")), "classes")
+    rows = rows.select("id", F.when(F.col("v").isNotNull(), digest).alias("digest"))
+    member = rows.where("digest IS NOT NULL").join(classes.select("digest", "node", "n"), "digest").select("id", "node", "n")
+    member = materialize(member, "named")
+    found: list[DataFrame] = []
+    dims = sorted(r[0] for r in classes.select(F.size("v")).distinct().collect())
+    for dim in dims:
+        found += _links(classes.where(F.size("v") == dim), dim, threshold, classes if dim == dims[-1] else None)
+    alone = rows.where("digest IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    if not dims:
         out = alone
     else:
-        links, ties = summed(materialize(found, "found"))
+        links, ties = summed(reduce(DataFrame.unionByName, found))
         member = materialize(member.join(components(ties), "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left"), "members")
         least = member.groupBy("component").agg(F.min("id").alias("component_id"))
         linked = member.join(least, "component").select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
@@ -196,7 +231,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
+def _links(classes: DataFrame, dim: int, threshold: float, done: DataFrame | None) -> list[DataFrame]:
+    """Tables of FOUND, one for each round. done: a table that goes as soon as its vectors are in tiles."""
     turn = np.linalg.eigh(_moments(classes, dim))[1][:, ::-1].copy()
     n_leaves = min(LEAVES, -(-classes.count() // TILE))
     some = classes.select("v").orderBy(F.xxhash64("node")).limit(max(1, min(PER_LEAF * n_leaves, TREE_BYTES // (8 * dim)))).toArrow()
@@ -229,29 +265,47 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     kind = "grp long, low array<double>, high array<double>, n long"
     boxes = {r["grp"]: [np.array(r["low"]), np.array(r["high"]), r["n"]] for r in parts.groupBy("grp").applyInArrow(box, kind).collect()}  # LEAVES rows
     spark = classes.sparkSession
-    allowed = spark.createDataFrame(_near([(g, b[0], b[1]) for g, b in boxes.items()], threshold), "grp long, other long")
-    counts = F.broadcast(spark.createDataFrame([(g, max(1, -(-b[2] // TILE))) for g, b in boxes.items()], "grp long, n_tiles long"))  # LEAVES rows
-    placed = dealt.select("v", "node", "n", "grp").join(counts, "grp").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles")))
-    packed = placed.groupBy("grp", "tile").agg(F.first("n_tiles").alias("n_tiles"), F.collect_list(F.struct("node", "n", "v")).alias("rows"))
+    leaves = sorted(boxes)
+    n_tiles = [max(1, -(-boxes[g][2] // TILE)) for g in leaves]
+    near = _near(*(np.array([boxes[g][k] for g in leaves]) for k in (0, 1)), threshold)
+    counts = F.broadcast(spark.createDataFrame([(g, n, first) for g, n, first in zip(leaves, n_tiles, (np.cumsum(n_tiles) - n_tiles).tolist(), strict=True)], "grp long, n_tiles long, first long"))  # LEAVES rows
+    placed = dealt.select("v", "node", "n", "grp").join(counts, "grp").withColumn("tile", F.col("first") + F.pmod(F.xxhash64("node"), F.col("n_tiles")))
+    packed = placed.groupBy("tile").agg(F.collect_list(F.struct("node", "n", "v")).alias("rows"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = []
             for k in range(batch.num_rows):
-                rows = batch.column(3).slice(k, 1).flatten()
+                rows = batch.column(1).slice(k, 1).flatten()
                 bodies.append(_dump(node=rows.field(0).to_numpy(), n=rows.field(1).to_numpy(), v=rows.field(2).flatten().to_numpy().reshape(-1, dim)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bodies, pa.binary())], names=["grp", "tile", "n_tiles", "body"])
-
-    tiles = materialize(packed.mapInArrow(pack, "grp long, tile long, n_tiles long, body binary"), "tiles")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a = _load(batch.column(0)[k].as_py())
-                b = _load(right) if (right := batch.column(1)[k].as_py()) else None
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["tile", "body"])
+
+    tiles = materialize(packed.mapInArrow(pack, "tile long, body binary"), "tiles")
+    if done is not None:
+        discard(done)
+
+    def compare(group: pa.Table) -> pa.Table:
+        place = group.column("place").to_numpy()
+        body, meets = group.column("body"), group.column("meets").to_pylist()
+        at = {int(p): k for k, p in enumerate(place)}
+        opened = {p: _load(body[k].as_py()) for p, k in at.items()}
+        parts = [pa.table({c: pa.array([], pa.int64()) for c in ("node", "links", "root")})]
+        for p, k in at.items():
+            for q in meets[k]:
+                a, b = opened.get(p), opened.get(q) if q != p else None
+                if a is None or (q != p and b is None):  # a tile that no vector fell into
+                    continue
                 hits = _hits(a["v"], b and b["v"], turn, threshold)
                 if hits.any():
-                    for found in counted(hits, a["node"], b and b["node"], a["n"], b and b["n"]):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "links", "root"])
-
-    return tile_pairs(tiles, allowed).repartition(max(8, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(compare, FOUND)
+                    parts += [pa.table(dict(zip(("node", "links", "root"), x, strict=True))) for x in counted(hits, a["node"], b and b["node"], a["n"], b and b["n"])]
+        summed_up = pa.concat_tables(parts).group_by(["node", "root"]).aggregate([("links", "sum")])
+        return summed_up.select(["node", "links_sum", "root"]).rename_columns(["node", "links", "root"])
+
+    tile_bytes = TILE * dim * (4 if "float" in v_type else 8)
+    block = max(1, min(BLOCK_BYTES // tile_bytes, sum(n_tiles) // (2 * spark.sparkContext.defaultParallelism)))
+    found = []
+    for rows in _rounds(_units(np.repeat(np.arange(len(near)), n_tiles), near, block), max(sum(n_tiles), ROUND_BYTES // tile_bytes)):
+        sent = F.broadcast(spark.createDataFrame(rows, "unit long, place long, tile long, meets array<long>"))  # as many rows as a round has tiles
+        found.append(materialize(tiles.join(sent, "tile").select("unit", "place", "meets", "body").groupBy("unit").applyInArrow(compare, FOUND), "found"))
+    discard(tiles)
+    return found

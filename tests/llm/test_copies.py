@@ -50,6 +50,36 @@ def test_vectors(spark, monkeypatch):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_in_rounds(spark, monkeypatch):
+    """Blocks of two tiles, as many tiles a round as there are in all: links as by brute force, no shuffle files left by a
+    round, and each two tiles of near leaves meet once."""
+    for name, value in (("TILE", 8), ("BLOCK_BYTES", 8 * 6 * 8 * 2), ("ROUND_BYTES", 0)):
+        monkeypatch.setattr(embed_dedup, name, value)
+    sent, whole = [], embed_dedup._rounds
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    monkeypatch.setattr(embed_dedup, "_rounds", lambda units, most: (sent.append((files(), len(r), most)) or r for r in whole(units, most)))
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(30, 6))
+    x = np.concatenate([base[k % 30] + rng.normal(size=6) * rng.choice([0, 0.2, 0.4]) for k in range(240)]).reshape(-1, 6)
+    x[::40, 0], x[1::40, 0] = 0.0, -0.0
+    x[1::40, 1:] = x[::40, 1:]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    links = [(a, b) for a in range(240) for b in range(a + 1, 240) if u[a] @ u[b] >= 0.9]
+    top = roots(range(240), links)
+    assert got == {k: (sum(k in p for p in links), top[k]) for k in range(240)}
+    assert len(sent) > 2 and len({f for f, _, _ in sent}) == 1 and all(n <= most for _, n, most in sent)
+
+    leaf, near = np.repeat(np.arange(7), [1, 3, 1, 2, 1, 4, 1]), rng.random((7, 7)) < 0.4
+    near |= near.T | np.eye(7, dtype=bool)
+    for block in (1, 2, 5, 20):
+        units = list(embed_dedup._units(leaf, near, block))
+        met = [tuple(sorted((t, group[q][0]))) for group in units for t, meets in group for q in meets]
+        assert sorted(met) == [(a, b) for a in range(13) for b in range(a, 13) if near[leaf[a], leaf[b]]]
+        assert all(len(group) <= 2 * block for group in units)
+
+
 def test_posterior():
     from math import comb
 
