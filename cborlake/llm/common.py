@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,5 +111,39 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: What a Python worker keeps from task to task, by owner and name.
+_kept: dict[tuple[str, str], object] = {}
+
+
+def kept(owner: str, name: str, make: Callable):
+    if (owner, name) not in _kept:
+        _kept[owner, name] = make()
+    return _kept[owner, name]
+
+
+def frugal(owner: str, f: Callable) -> Callable:
+    """f, batches to batches, in a worker that Spark uses again and again: what it keeps for other owners goes before, and
+    memory that is free goes back to the system afterwards, where an idle worker would hold it beside a busy one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key in [k for k in _kept if k[0] != owner]:
+            del _kept[key]
+        _trim()
+        try:
+            yield from f(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

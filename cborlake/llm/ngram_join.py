@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, quoted
+from .common import frugal, materialize, quoted
 from .components import components
 from .textvec import chunks, shingles
 from .tiles import FOUND, counted, forest, summed, tile_pairs
@@ -89,7 +89,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInArrow(read, f"uid long, id {kind}, digest long, key binary, size long, sig binary"), "features")
+    return materialize(rows.mapInArrow(frugal("ngram_join", read), f"uid long, id {kind}, digest long, key binary, size long, sig binary"), "features")
 
 
 def _sets(docs: DataFrame, feats: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,7 +105,7 @@ def _sets(docs: DataFrame, feats: DataFrame, groups: DataFrame, id_col: str, tex
     wanted = feats.select(F.col("uid").alias("node"), F.col("id").alias("wid"), F.col("digest").alias("wdigest")).join(groups.select("node"), "node")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     found = texts.join(wanted, F.expr("id <=> wid AND xxhash64(text) = wdigest")).select("node", "text")
-    return found.mapInArrow(read, "node long, sets binary").dropDuplicates(["node"])  # rows that repeat give a set twice
+    return found.mapInArrow(frugal("ngram_join", read), "node long, sets binary").dropDuplicates(["node"])  # rows that repeat give a set twice
 
 
 _SIGNED = "array<struct<node:long,sig:binary>>"
@@ -126,7 +126,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             key *= np.uint64(0xBF58476D1CE4E5B9)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(key.ravel().view(np.int64))], names=["node", "band"])
 
-    rows = classes.select("node", "sig").mapInArrow(bands, "node long, band long")
+    rows = classes.select("node", "sig").mapInArrow(frugal("ngram_join", bands), "node long, band long")
     rows = materialize(rows, "bands")
     buckets = rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")).where("n > 1")
     # of buckets with the same members one is worked through
@@ -135,14 +135,14 @@ def candidates(classes: DataFrame) -> DataFrame:
     members = rows.join(materialize(buckets, "buckets"), "band").join(signed, "node")
     tiles = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles"))).groupBy("band", "tile").agg(F.first("n_tiles").alias("n_tiles"), F.first("least").alias("least"), F.collect_list(F.struct("node", "sig")).alias("body"))
     led = tiles.join(signed.select(F.col("node").alias("least"), F.col("sig").alias("lead")), "least").select("band", "tile", "n_tiles", "least", "lead", "body")
-    met = materialize(led.mapInArrow(_meet, f"band long, tile long, a array<long>, b array<long>, body {_SIGNED}, rest {_SIGNED}"), "met")
+    met = materialize(led.mapInArrow(frugal("ngram_join", _meet), f"band long, tile long, a array<long>, b array<long>, body {_SIGNED}, rest {_SIGNED}"), "met")
     ties = met.select(F.explode(F.arrays_zip("a", "b")).alias("t")).select("t.a", "t.b")
     # what is left of a bucket's tiles comes together, so that it meets each tile once
     alone = met.select("band", F.explode("rest").alias("r"))
     alone = alone.join(alone.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("long").alias("n")), "band")
     left = alone.groupBy("band", F.pmod(F.xxhash64("r.node"), F.col("n")).alias("part")).agg(F.collect_list("r").alias("rest"))
     pairs = left.join(met.where("body IS NOT NULL").select("band", "body"), "band").select("rest", "body")
-    late = pairs.repartition(max(8, 4 * classes.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_meet_all, "a long, b long")
+    late = pairs.repartition(max(8, 4 * classes.sparkSession.sparkContext.defaultParallelism)).mapInArrow(frugal("ngram_join", _meet_all), "a long, b long")
     return ties.unionByName(late).where("a <> b").distinct()
 
 
@@ -301,7 +301,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles")))
     body = F.collect_list(F.struct("node", "n", "sig", "sets")).alias("body")
     tiles = materialize(members.groupBy("grp", "tile").agg(F.first("n_tiles").alias("n_tiles"), body), "tiles")
-    found = materialize(tile_pairs(tiles).repartition(max(8, 4 * docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_compare, FOUND), "found")
+    found = materialize(tile_pairs(tiles).repartition(max(8, 4 * docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(frugal("ngram_join", _compare), FOUND), "found")
     n_links, joined = summed(found)
     linked = components(joined)
     per_class = classes.select("key", "node", "n").join(n_links, "node", "left").join(linked, "node", "left")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import frugal, kept, materialize
 
 CAPACITY, END_ID = 1024, 2
 #: Words kept with their ids in each Python worker (about 200 bytes each), twice at most; characters encoded at once.
@@ -101,14 +101,9 @@ class Encoder:
         return list(map(self._ids, texts, words))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """A worker's encoder, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """A worker's encoder, kept from task to task until the worker does something else: it holds over 200 MB."""
+    return kept("packing", path, lambda: Encoder(path))
 
 
 PIECES = "part int, row long, piece int, start long, length long, nth long, ids binary"
@@ -146,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 )
 
     schema = T.StructType([docs.select(id_col).schema[0], *T._parse_datatype_string(PIECES).fields])
-    return materialize(docs.select(id_col, text_col).mapInArrow(cut, schema), "pieces", compression="zstd")
+    return materialize(docs.select(id_col, text_col).mapInArrow(frugal("packing", cut), schema), "pieces", compression="zstd")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:

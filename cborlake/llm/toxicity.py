@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import frugal, materialize
 
 SAMPLE = 16_000
 DECAY, GAP = 0.6, 1
@@ -388,7 +388,7 @@ def _counts(labelled: DataFrame) -> np.ndarray:
         z = (toxic - have * share) / np.sqrt(have * share * (1 - share) * np.maximum(1e-9, 1 - have / (n + 1)) + 1e-9)
         return pa.table({"piece": group.column("piece").slice(0, 1), "z": pa.array([np.maximum(0, z - CLEAR).astype(np.float32).tobytes()], pa.binary())})
 
-    rows = labelled.select("id", "text", "y").mapInArrow(count, "piece int, clean binary, toxic binary").groupBy("piece").applyInArrow(add, "piece int, z binary")
+    rows = labelled.select("id", "text", "y").mapInArrow(frugal("toxicity", count), "piece int, clean binary, toxic binary").groupBy("piece").applyInArrow(add, "piece int, z binary")
     out = np.zeros((PIECES, SLOTS // PIECES), np.float32)
     for r in rows.collect():  # SLOTS numbers
         out[r["piece"]] = np.frombuffer(r["z"], np.float32)
@@ -424,7 +424,7 @@ def _worst(labelled: DataFrame, model: Model, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(of, pa.int64())) for k in (0, 2, 3)), *found], names=names)
 
     kind = labelled.schema["id"].dataType.simpleString()
-    return materialize(labelled.select("id", "text", "y", "fold").mapInArrow(read, f"id {kind}, y int, fold int, place int, margin double, text string, own int"), name)
+    return materialize(labelled.select("id", "text", "y", "fold").mapInArrow(frugal("toxicity", read), f"id {kind}, y int, fold int, place int, margin double, text string, own int"), name)
 
 
 def _fitted(examples: DataFrame) -> np.ndarray:
@@ -440,7 +440,7 @@ def _fitted(examples: DataFrame) -> np.ndarray:
             return
         yield pa.RecordBatch.from_arrays([pa.array([fit(*sides).tobytes()], pa.binary())], names=["body"])
 
-    found = examples.select("y", "turn", "margin", "text", "own").coalesce(1).mapInArrow(run, "body binary").collect()
+    found = examples.select("y", "turn", "margin", "text", "own").coalesce(1).mapInArrow(frugal("toxicity", run), "body binary").collect()
     return np.frombuffer(found[0]["body"], np.float32) if found else np.zeros(SLOTS, np.float32)
 
 
@@ -482,7 +482,7 @@ def _judged(rows: DataFrame, model: Model) -> DataFrame:
             scores = [held.value.score(held.value.worst(texts)) for texts in _some(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["id", "score"])
 
-    return rows.mapInArrow(read, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(frugal("toxicity", read), f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def _some(texts: pa.Array, most: int = 500) -> Iterator[list[str]]:
@@ -510,7 +510,7 @@ def keep_below(docs: DataFrame, model: Model, limit: float, text_col: str = "tex
             for at, texts in zip(range(0, batch.num_rows, 500), _some(batch.column(place)), strict=True):
                 yield batch.slice(at, 500).filter(pa.array(held.value.score(held.value.worst(texts)) < limit))
 
-    return docs.mapInArrow(read, docs.schema)
+    return docs.mapInArrow(frugal("toxicity", read), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Callable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:

@@ -111,3 +111,15 @@ def test_release_spares_what_is_read(spark):
     assert kept.count() == 5
     with pytest.raises(Exception, match="does not exist|FileNotFound|No such file"):
         gone.count()
+
+
+def test_workers_give_up_what_they_keep():
+    """The encoder stays from task to task of packing, and goes when its worker does something else."""
+    from cborlake.llm import packing
+    from cborlake.llm.queries import tokenizer_path
+
+    own, rows = packing.encoder(tokenizer_path()), [1, 2, 3]
+    assert list(common.frugal("packing", iter)(rows)) == rows
+    assert packing.encoder(tokenizer_path()) is own
+    assert list(common.frugal("toxicity", iter)(rows)) == rows
+    assert not common._kept
