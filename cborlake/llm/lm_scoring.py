@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .textvec import _SPACE, _power, chunks
 
 #: Kinds of context: so many last bytes; so many last bytes of the word, in lower case; the word so far, in lower case.
@@ -559,9 +559,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, Da
     n_parts = (learned.agg(F.max("part")).first()[0] or 0) + 1
     model = _model(learned.where("part IS NOT NULL").select("part", "body"), n_parts)
     words = learned.where("n IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
+    words = materialize(words, "words", compression="zstd")
     cells = learned.where("bucket IS NOT NULL").select("bucket", "chunk", "body", "count").groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, cells binary")
+    # a table, so that what was learned, and dealt to buckets, is gone before cells are dealt to chunks
+    cells = materialize(cells, "cells", compression="uncompressed")
+    discard(learned)
     cells = cells.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "cells")).alias("cells"))
-    return model, materialize(words, "words", compression="zstd"), found.join(cells, "chunk").select("body", "cells")
+    return model, words, found.join(cells, "chunk").select("body", "cells")
 
 
 def _answer(group: pa.Table) -> pa.Table:
@@ -636,6 +640,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     names = ["uid", "id", "held_out", "n_tokens", "n_known", "base_score", "bits", "n_bytes", "token", "n"]
     kind = docs.schema[id_col].dataType.simpleString()
     done = materialize(chunked.mapInArrow(read, f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long, token binary, n long"), "scored", compression="zstd")
+    discard(chunked)
     cold = done.where("token IS NOT NULL").select("uid", "token", "n").join(words.where("token IS NOT NULL").select("token", F.col("n").alias("c")), "token")
     late = cold.groupBy("uid").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_score"))
     out = done.where("token IS NULL").join(late, "uid", "left")

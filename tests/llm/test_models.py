@@ -258,3 +258,15 @@ def test_best_two_fit(seed):
 def test_replacement_of_the_smallest():
     """600 + 300 leaves 124: 300 gives way to 210 and 214, which fill the bin."""
     assert packing.best_two_fit({600: 1, 300: 1, 214: 1, 210: 1})[0] == ([600, 214, 210], 1)
+
+
+def test_scoring_gives_up_its_tables(spark):
+    """What only earlier steps need is gone when texts are scored, and results are still read in full."""
+    from cborlake.llm import common, lm_scoring
+
+    before = set(common._scratch)
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(20)], "doc_id long, text string")
+    out = lm_scoring.score(docs, lambda x: x % 2 == 0)
+    left = {p.rsplit("/", 1)[1].split("-")[1] for p in set(common._scratch) - before}
+    assert left == {"words", "scored"}
+    assert out.where("score < 0").count() == 20
