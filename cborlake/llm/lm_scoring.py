@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import _trim, discard, frugal, materialize
 from .textvec import _SPACE, _power, chunks
 
 #: Kinds of context: so many last bytes; so many last bytes of the word, in lower case; the word so far, in lower case.
@@ -58,6 +58,8 @@ FIRST = 8_192
 BLOCK = 1 << 17
 #: Distinct symbols in contexts predicted at once, before what they teach is taken in.
 SLICE = 32_768
+#: Values told apart, and keys added up, at once, so that hash tables stay small.
+SHARE = 1 << 18
 #: The gate tells apart so many places of a bit in a code, and for each predictor that it watches, how often the slot
 #: was seen: less often than these numbers.
 PLACES, WATCHED = 8, (4, 2)
@@ -158,15 +160,16 @@ def _block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def _keys(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """Of each distinct pair of symbol and contexts: the symbol and the hashed contexts; which one each symbol of the
     texts is; and where texts begin."""
-    parts = [_block(texts[a:b]) for a, b in chunks(texts, BLOCK)]
-    joint = np.concatenate([p[4] for p in parts])
-    codes = pa.array(joint).dictionary_encode().indices.to_numpy()
-    first = np.empty(codes.max() + 1, np.int64)
-    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    first.sort()  # tables are met in the order of the text
-    turn = np.empty(len(first), np.int64)
-    turn[codes[first]] = np.arange(len(first))
-    word, before, inside, symbol = (np.concatenate([p[k] for p in parts])[first] for k in range(4))
+    parts, codes, n = [], [], 0
+    for a, b in chunks(texts, BLOCK):  # of each block, what is distinct there
+        columns = _block(texts[a:b])
+        own, first = _firsts(columns[-1])
+        parts.append([x[first] for x in columns])
+        codes.append(own + np.int32(n))
+        n += len(first)
+    own, first = _firsts(np.concatenate([p.pop() for p in parts]))
+    codes = own[np.concatenate(codes)]
+    symbol, inside, before, word = (np.concatenate([p.pop() for p in parts])[first] for _ in range(4))  # each goes when it is joined
     lower = before | _capitals(before) >> np.uint64(1)
     contexts = []
     for k, (kind, size) in enumerate(CONTEXTS):
@@ -180,7 +183,33 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray,
         h = h ^ (h >> np.uint64(32))
         h = (h + np.uint64(2 * k + 1)) * np.uint64(0xD6E8FEB86659FD93)
         contexts.append(h ^ (h >> np.uint64(29)))
-    return symbol.astype(np.int64), contexts, turn[codes], np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+    return symbol, contexts, codes, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+
+
+def _firsts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which distinct value each is, in the order in which they are met; and where each is met first."""
+    codes, firsts, n = np.empty(len(values), np.int32), [], 0
+    for rows in _shares(values, 64):
+        own = pa.array(values[rows]).dictionary_encode().indices.to_numpy()
+        firsts.append(np.empty(own.max(initial=-1) + 1, np.int64))
+        firsts[-1][own[::-1]] = rows[::-1]
+        codes[rows] = own + np.int32(n)
+        n += len(firsts[-1])
+    first = np.sort(np.concatenate(firsts))
+    turn = np.empty(n, np.int32)
+    turn[codes[first]] = np.arange(n, dtype=np.int32)
+    return turn[codes], first
+
+
+def _shares(values: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Rows by the first bits of their values, which have so many bits: about SHARE rows at once, in the order of the values."""
+    bits = max(0, math.ceil(math.log2(max(1, len(values)) / SHARE)))
+    if not bits:
+        yield np.arange(len(values))
+        return
+    of = (values >> np.uint64(width - bits)).astype(np.uint16)
+    for k in range(1 << bits):
+        yield np.flatnonzero(of == k)
 
 
 def _capitals(x: np.ndarray) -> np.ndarray:
@@ -197,12 +226,17 @@ def _key(symbol: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, and which one each is."""
-    codes = pa.array(keys).dictionary_encode()
-    own = codes.dictionary.to_numpy()
-    by = np.argsort(own)
-    turn = np.empty(len(by), np.int32)
-    turn[by] = np.arange(len(by), dtype=np.int32)
-    return own[by], turn[codes.indices.to_numpy()]
+    turn, out, n = np.empty(len(keys), np.int32), [], 0
+    for rows in _shares(keys, 63):
+        codes = pa.array(keys[rows]).dictionary_encode()
+        own = codes.dictionary.to_numpy()
+        by = np.argsort(own)
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(n, n + len(by), dtype=np.int32)
+        turn[rows] = place[codes.indices.to_numpy()]
+        out.append(own[by])
+        n += len(by)
+    return np.concatenate(out), turn
 
 
 def _merged(parts: list[np.ndarray]) -> np.ndarray:
@@ -219,6 +253,15 @@ def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[by], first) if len(first) else n
 
 
+def _totals(lists: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of sorted lists, and the sums of their counts; worked out range by range of the keys."""
+    n, longest = max(1, sum(map(len, lists)) // SHARE), max(lists, key=len)
+    bounds = longest[np.arange(1, n) * len(longest) // n]
+    cuts = [[0, *np.searchsorted(x, bounds).tolist(), len(x)] for x in lists]
+    found = [_sum(*(np.concatenate([x[c[k] : c[k + 1]] for x, c in zip(some, cuts, strict=True)]) for some in (lists, counts))) for k in range(n)]
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def _decisions(symbol: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Number of the bit, rows that have it, and its outcome."""
     rows, bits, sizes = np.arange(len(symbol)), _BITS[symbol], _SIZES[symbol]
@@ -248,6 +291,10 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 def _cells(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray) -> np.ndarray:
     """For each bit of the symbols of sorted keys: the logit in its context in units, times 8, and the level."""
+    return np.concatenate([np.zeros(0, np.int16), *(_slice_cells(table, asked[at : at + SLICE]) for at in range(0, len(asked), SLICE))])
+
+
+def _slice_cells(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray) -> np.ndarray:
     keys, sums = table
     symbol, context, start = _ORDER[(asked & _LOW).astype(np.int64)], asked & ~_LOW, _starts(asked)
     sizes, bits = _SIZES[symbol], _BITS[symbol]
@@ -342,7 +389,13 @@ class Trainer:
             at = np.searchsorted(keys, own)
             known = np.append(keys, ~np.uint64(0))[at] == own
             old[at[known]] += n[known]
-            self.counts[k] = np.stack([np.insert(keys, at[~known], own[~known]), np.insert(old, at[~known], n[~known]).view(np.uint64)])
+            place = at[~known] + np.arange(np.count_nonzero(~known))  # of what is new
+            grown = np.empty((2, len(keys) + len(place)), np.uint64)
+            rest = np.ones(grown.shape[1], bool)
+            rest[place] = False
+            grown[:, place] = own[~known], n[~known].view(np.uint64)
+            grown[:, rest] = self.counts[k]
+            self.counts[k] = grown
         return counted
 
     def _learn(self, symbol: np.ndarray, cells: list[np.ndarray], starts: list[np.ndarray], times: np.ndarray) -> None:
@@ -481,7 +534,7 @@ def _chunks(docs: DataFrame, learn, id_col: str, text_col: str) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col(id_col).alias("id"), (~F.coalesce(learn(F.col(id_col)), F.lit(False))).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return materialize(rows.mapInArrow(gather, "chunk long, size long, body binary"), "chunks", compression="uncompressed")
+    return materialize(rows.mapInArrow(frugal("lm_scoring", gather), "chunk long, size long, body binary"), "chunks", compression="uncompressed")
 
 
 def _write(batches: list[pa.RecordBatch]) -> bytes:
@@ -510,8 +563,12 @@ def _growing(texts: list[bytes], trainer: Trainer) -> Iterator[tuple[int, int]]:
 def _steps(texts: list[bytes], trainer: Trainer | None = None) -> Iterator[tuple[int, int, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]:
     """First and last text of a step, symbols, each predictor's keys and which one a symbol has, and what else _keys gives."""
     for a, b in chunks(texts, STEP) if trainer is None else _growing(texts, trainer):
-        symbol, contexts, codes, begins = _keys(texts[a:b])
-        yield a, b, symbol, [_kinds(_key(symbol, c)) for c in contexts], codes, begins
+        yield a, b, *_step(texts[a:b])  # nothing of it stays here
+
+
+def _step(texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    symbol, contexts, codes, begins = _keys(texts)
+    return symbol, [_kinds(_key(symbol, contexts.pop(0))) for _ in CONTEXTS], codes, begins
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, DataFrame, DataFrame]:
@@ -544,8 +601,12 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, Da
                     counted = trainer.learn(symbol, kinds, np.bincount(codes[own], minlength=len(symbol)))
                     for k, (keys, _) in enumerate(kinds):
                         asked[k].append((keys, counted[k]))
-                for k, some in enumerate(asked):
-                    keys, n = _sum(np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some]))
+                    del symbol, kinds, codes, own, counted, keys
+                    _trim()
+                for k in range(len(CONTEXTS)):
+                    some, asked[k] = asked[k], []
+                    keys, n = _totals([x for x, _ in some], [x for _, x in some])
+                    del some
                     of = (keys >> np.uint64(63 - top)).astype(np.int64)
                     for w in np.split(np.arange(len(keys)), np.flatnonzero(of[1:] != of[:-1]) + 1):
                         yield rows(1, bucket=[k << 24 | int(of[w[0]])], chunk=[name], body=[_planes(np.diff(keys[w], prepend=np.uint64(0)))], count=[_planes(n[w])])
@@ -555,7 +616,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, Da
             yield rows(1, n=[ends])
             yield rows(1, part=[part], body=[trainer.part()])
 
-    learned = materialize(found.select("chunk", "body").mapInArrow(read, "part long, bucket int, chunk long, body binary, count binary, token binary, n long"), "learned", compression="zstd")
+    learned = materialize(found.select("chunk", "body").mapInArrow(frugal("lm_scoring", read), "part long, bucket int, chunk long, body binary, count binary, token binary, n long"), "learned", compression="zstd")
     n_parts = (learned.agg(F.max("part")).first()[0] or 0) + 1
     model = _model(learned.where("part IS NOT NULL").select("part", "body"), n_parts)
     words = learned.where("n IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
@@ -571,24 +632,34 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, Da
 def _answer(group: pa.Table) -> pa.Table:
     """Adds up the counts of a bucket's keys, and gives each chunk the cells of its own."""
     asked = [np.cumsum(_numbers(x.as_py(), np.uint64), dtype=np.uint64) for x in group.column("body")]
-    keys, n = _sum(np.concatenate(asked), np.concatenate([_numbers(x.as_py(), np.int64) for x in group.column("count")]))
+    keys, n = _totals(asked, [_numbers(x.as_py(), np.int64) for x in group.column("count")])
     table = _cell(keys[n > 0], n[n > 0])
+    del keys, n
     return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "cells": pa.array([_planes(_cells(table, x)) for x in asked], pa.binary())})
 
 
 def _bits(model: Model, texts: list[bytes], answers: list[dict]) -> np.ndarray:
     """Bits of a chunk's texts. answers: the cells of its keys by bucket; buckets are in the order of the keys."""
-    steps = list(_steps(texts))
-    cells = [[] for _ in CONTEXTS]
+    parts = [[] for _ in CONTEXTS]
     for x in sorted(answers, key=lambda x: x["bucket"]):
-        cells[x["bucket"] >> 24].append(_numbers(x["cells"], np.int16))
-    cells = [np.concatenate(c) for c in cells]
-    keys = [_merged([kinds[k][0] for _, _, _, kinds, _, _ in steps]) for k in range(len(CONTEXTS))]
-    starts = [_starts(own) for own in keys]
+        parts[x["bucket"] >> 24].append(_numbers(x["cells"], np.int16))
+    del answers, x
+    cells = [np.concatenate(parts.pop(0)) for _ in CONTEXTS]
+    steps = []
+    for step in _steps(texts):
+        steps.append(step)
+        _trim()
+    for k in range(len(CONTEXTS)):  # of a key, where its cells begin is all that is kept
+        all_ = _merged([kinds[k][0] for _, _, _, kinds, _, _ in steps])
+        starts = _starts(all_)
+        for _, _, _, kinds, _, _ in steps:
+            kinds[k] = starts[np.searchsorted(all_, kinds[k][0])], kinds[k][1]
+    del all_, starts
     out = []
-    for _, _, symbol, kinds, codes, begins in steps:
-        costs = model.coded(symbol, cells, [s[np.searchsorted(all_, own)[kind]] for s, all_, (own, kind) in zip(starts, keys, kinds, strict=True)])
-        out.append(np.add.reduceat(costs[codes], begins))
+    while steps:
+        _, _, symbol, kinds, codes, begins = steps.pop(0)
+        costs = [model.coded(symbol[w], cells, [s[kind[w]] for s, kind in kinds]) for w in (slice(at, at + 8 * SLICE) for at in range(0, len(symbol), 8 * SLICE))]
+        out.append(np.add.reduceat(np.concatenate(costs)[codes], begins))
     return np.concatenate(out)
 
 
@@ -639,7 +710,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
 
     names = ["uid", "id", "held_out", "n_tokens", "n_known", "base_score", "bits", "n_bytes", "token", "n"]
     kind = docs.schema[id_col].dataType.simpleString()
-    done = materialize(chunked.mapInArrow(read, f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long, token binary, n long"), "scored", compression="zstd")
+    done = materialize(chunked.mapInArrow(frugal("lm_scoring", read), f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long, token binary, n long"), "scored", compression="zstd")
     discard(chunked)
     cold = done.where("token IS NOT NULL").select("uid", "token", "n").join(words.where("token IS NOT NULL").select("token", F.col("n").alias("c")), "token")
     late = cold.groupBy("uid").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_score"))

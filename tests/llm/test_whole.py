@@ -98,3 +98,39 @@ def test_a_small_task_learns_weights(spark, prose):
     assert np.abs(model.weights - weights).max() > 0.05
     out = {r["held_out"]: (r["s"], r["b"]) for r in lm_scoring.score(docs, lambda x: x % 5 != 0).groupBy("held_out").agg({"score": "sum", "base_score": "sum"}).toDF("held_out", "s", "b").collect()}
     assert all(s < 0 for s, _ in out.values())
+
+
+def test_lm_step_takes_little_memory_and_shares_change_nothing(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(2, 9, 30_000)]
+    texts = [b" ".join(words[k] for k in rng.integers(0, len(words), 500)) for _ in range(600)]
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    symbol, contexts, codes, _ = lm_scoring._keys(texts)
+    keys_peak = tracemalloc.get_traced_memory()[1]
+    own, kind = lm_scoring._kinds(lm_scoring._key(symbol, contexts[4]))
+    table = lm_scoring._cell(own, np.ones(len(own), np.int64))
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    cells = lm_scoring._cells(table, own)
+    cells_peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert keys_peak < 55 * size and cells_peak < 150 * len(own)  # bytes; 65 and 258 when a step was worked on as a whole
+    assert len(cells) == lm_scoring._starts(own)[-1]
+    # told apart in many shares, and in slices, all is as it was
+    monkeypatch.setattr(lm_scoring, "SHARE", 5_000)
+    monkeypatch.setattr(lm_scoring, "SLICE", 1_000)
+    again = lm_scoring._keys(texts)
+    assert (again[0] == symbol).all() and (again[2] == codes).all() and all((a == b).all() for a, b in zip(again[1], contexts, strict=True))
+    for c in contexts:
+        key = lm_scoring._key(symbol, c)
+        sets, which = lm_scoring._kinds(key)
+        assert (sets == np.unique(key)).all() and (sets[which] == key).all()
+    assert (lm_scoring._cells(table, own) == cells).all() and len(lm_scoring._cells(table, own[:0])) == 0
+    lists = [np.unique(rng.integers(0, 40_000, n).astype(np.uint64)) for n in (0, 30_000, 50, 20_000)]
+    counts = [rng.integers(0, 9, len(x)) for x in lists]
+    found = lm_scoring._totals(lists, counts)
+    whole = lm_scoring._sum(np.concatenate(lists), np.concatenate(counts))
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(found, whole, strict=True))
