@@ -35,6 +35,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ _TAIL = 6  # last bytes kept of each place
 #: Bytes of a chunk, of a step of training and of texts scored at once, and of the text whose keys one bucket of a
 #: predictor takes.
 CHUNK, STEP, BUCKET = 8_000_000, 2_500_000, 32_000_000
+#: Buckets are dealt out in so many rounds: only the keys of one round are in shuffle files.
+ROUNDS = 4
 #: Bytes of a task's first step.
 FIRST = 8_192
 #: Bytes worked on at once where it is bytes that are worked on, few enough to stay in a core's cache.
@@ -621,10 +624,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, Da
     model = _model(learned.where("part IS NOT NULL").select("part", "body"), n_parts)
     words = learned.where("n IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
     words = materialize(words, "words", compression="zstd")
-    cells = learned.where("bucket IS NOT NULL").select("bucket", "chunk", "body", "count").groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, cells binary")
-    # a table, so that what was learned, and dealt to buckets, is gone before cells are dealt to chunks
-    cells = materialize(cells, "cells", compression="uncompressed")
+    answered = []
+    for k in range(ROUNDS):
+        some = learned.where(F.col("bucket") % ROUNDS == k).select("bucket", "chunk", "body", "count").groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, cells binary")
+        # a table, so that what was learned, and dealt to buckets, is gone before cells are dealt to chunks
+        answered.append(materialize(some, "cells", compression="uncompressed"))
     discard(learned)
+    cells = reduce(DataFrame.unionAll, answered)
     cells = cells.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "cells")).alias("cells"))
     return model, words, found.join(cells, "chunk").select("body", "cells")
 
