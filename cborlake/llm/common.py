@@ -51,10 +51,10 @@ BATCH_BYTES = "8m"
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, **more: str) -> Iterator[None]:
     """Within it batches to Python are small, and the shuffle files of a query go when it has ended, not when the driver
-    happens to collect its garbage."""
-    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    happens to collect its garbage. more: other settings that hold within it."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **more}
     before = {k: spark.conf.get(k) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -69,14 +69,18 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 _scratch: list[str] = []
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy", scratch: bool = True) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy", scratch: bool = True, by: tuple[str, int] | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it back: the lineage ends there, lost executors
     do not cause the work to be done again, and later reads prune columns. Removed when the driver ends, or by
-    ``release`` if it is scratch."""
+    ``release`` if it is scratch. by: a column of few numbers, and how many, each of which gets a folder that ``discard``
+    may remove for itself; rows are not sorted for that."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cborlake-{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.option("compression", compression).parquet(path)
+    out = df.write.option("compression", compression)
+    if by:
+        out = out.partitionBy(by[0]).option("parquet.block.size", 16 << 20)  # all folders are written beside each other
+    with small_batches(spark, **{"spark.sql.maxConcurrentOutputFileWriters": str(by[1])} if by else {}):
+        out.parquet(path)
     atexit.register(_remove, spark, path)
     if scratch:
         _scratch.append(path)
@@ -92,12 +96,13 @@ def release(docs: DataFrame) -> None:
         _remove(docs.sparkSession, path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table made by ``materialize`` that nothing reads any more."""
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for path in [p for p in _scratch if any(f.endswith(p.rsplit("/", 1)[1]) for f in folders)]:
-        _scratch.remove(path)
-        _remove(df.sparkSession, path)
+def discard(df: DataFrame, part: str = "") -> None:
+    """Remove a table made by ``materialize`` that nothing reads any more, or one folder of it (column=number)."""
+    folders = {f.rsplit("/", 1)[0] + "/" for f in df.inputFiles()}
+    for path in [p for p in _scratch if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in folders)]:
+        if not part:
+            _scratch.remove(path)
+        _remove(df.sparkSession, f"{path}/{part}" if part else path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

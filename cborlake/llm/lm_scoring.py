@@ -12,12 +12,14 @@ Training is online: a task walks through its documents in steps; each step is pr
 steps before it, then weights take a gradient step, the map and the counts are brought up to date. The first step, of FIRST
 bytes, has nothing to be predicted from and only gives counts; then steps are as long as all before them, up to STEP, so that
 a task of any size learns weights. Weights and maps of
-all tasks are then added up, in a tree. In a step, equal contexts with equal outcomes are worked out once; a step is
+all tasks are then added up, in a tree. What a task predicts from are the counts of LEARNED bytes at most, so that its time and
+memory do not depend on how much text it was given. In a step, equal contexts with equal outcomes are worked out once; a step is
 learned in slices.
 
 Counts of all tasks meet by key: documents are read in chunks, and the keys of a chunk, each once and with its count in
 training texts, are dealt into buckets of the hash. A bucket adds up the counts of all chunks and gives each chunk the
-cells of its own keys, with which its texts are scored. The model is nowhere in one place.
+cells of its own keys, with which its texts are scored. Cells are worked out once for each key of a bucket, however many
+chunks have it. The model is nowhere in one place.
 
 The base score counts words instead: Laplace's estimate over the training documents' words. Words that occur most (HOT
 at most, of HOT_BYTES at most) are looked up where texts are scored; all others are joined.
@@ -35,7 +37,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,11 @@ _TAIL = 6  # last bytes kept of each place
 #: Bytes of a chunk, of a step of training and of texts scored at once, and of the text whose keys one bucket of a
 #: predictor takes.
 CHUNK, STEP, BUCKET = 8_000_000, 2_500_000, 32_000_000
-#: Buckets are dealt out in so many rounds: only the keys of one round are in shuffle files.
+#: So many bits less say the bucket of a predictor whose contexts are fewer; eight buckets at least.
+FEWER = (6, 2, 1, 0, 0)
+#: Bytes of text whose counts a task has at once to predict from. Then it begins to count anew; weights and map go on.
+LEARNED = 64_000_000
+#: Buckets are dealt out, and chunks scored, in so many rounds: only the keys or texts of one round are in shuffle files.
 ROUNDS = 4
 #: Bytes of a task's first step.
 FIRST = 8_192
@@ -120,6 +126,19 @@ def _places() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _ORDER, _PLACE, _MIDDLE = _places()
+#: Of each symbol and bit, whether it is one; and of the symbols of two places, at how many bits both are counted.
+_BIT = np.arange(_DEPTH) < _SIZES[:, None]
+_BIT &= (_BITS[:, None] >> np.maximum(_SIZES[:, None] - 1 - np.arange(_DEPTH), 0) & 1).astype(bool)
+
+
+def _shared() -> np.ndarray:
+    ends = (_BITS << (_DEPTH - _SIZES))[_ORDER]
+    apart = ends[:, None] ^ ends
+    same = _DEPTH - np.frexp(apart.astype(np.float64))[1]  # bits alike
+    return np.minimum(same + 1, _SIZES[_ORDER][:, None]).astype(np.uint8)
+
+
+_SHARED = _shared()
 _LOW = np.uint64(511)  # bits of a key that have the place
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
@@ -299,25 +318,55 @@ def _cells(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray) -> np.ndarra
 
 def _slice_cells(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray) -> np.ndarray:
     keys, sums = table
-    symbol, context, start = _ORDER[(asked & _LOW).astype(np.int64)], asked & ~_LOW, _starts(asked)
-    sizes, bits = _SIZES[symbol], _BITS[symbol]
-    ones, zeros = np.zeros(start[-1], np.int64), np.zeros(start[-1], np.int64)
-    low, high = np.searchsorted(keys, context), np.searchsorted(keys, context + _LOW + np.uint64(1))
-    at = np.flatnonzero(high > low)
-    low, high = low[at], high[at]
+    start = _starts(asked)
+    out = np.zeros(start[-1], np.int16)  # of what did not occur the logit is 0
+    if not len(keys):
+        return out
+    context = asked & ~_LOW
+    low = np.searchsorted(keys, context)
+    at = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] - context <= _LOW)  # the others' contexts did not occur
+    low, context = low[at], context[at]
+    end = context + _LOW
+    single = keys[np.minimum(low + 1, len(keys) - 1)] - context > _LOW
+    single |= low + 1 == len(keys)
+    # one symbol only followed: its count stands at each bit up to where the codes part
+    w = np.flatnonzero(single)
+    own, found = asked[at[w]] & _LOW, keys[low[w]] & _LOW
+    size = _SHARED[own, found].astype(np.int64)
+    ends = np.cumsum(size)
+    step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+    n = sums[low[w] + 1] - sums[low[w]]
+    one = _BIT.ravel()[np.repeat(_ORDER[found.astype(np.int64)] * _DEPTH, size) + step]
+    out[np.repeat(start[at[w]], size) + step] = np.where(one, np.repeat(_value(n, np.zeros_like(n)), size), np.repeat(_value(np.zeros_like(n), n), size))
+    w = np.flatnonzero(~single)
+    at, low, context, high = at[w], low[w], context[w], np.searchsorted(keys, end[w], side="right")
+    symbol = _ORDER[(asked[at] & _LOW).astype(np.int64)]
     for d in range(_DEPTH):
         if not len(at):
             break
-        middle = np.searchsorted(keys, context[at] + _MIDDLE[symbol[at], d])
-        zeros[start[at] + d], ones[start[at] + d] = sums[middle] - sums[low], sums[high] - sums[middle]
-        one = (bits[at] >> sizes[at] - d - 1 & 1).astype(bool)
+        middle = np.searchsorted(keys, context + _MIDDLE[symbol, d])
+        below, middle_sum, above = sums[low], sums[middle], sums[high]
+        out[start[at] + d] = _value(above - middle_sum, middle_sum - below)
+        one = _BIT[symbol, d]
         low, high = np.where(one, middle, low), np.where(one, high, middle)
-        on = np.flatnonzero((high > low) & (sizes[at] > d + 1))
-        at, low, high = at[on], low[on], high[on]
+        on = np.flatnonzero((high > low) & (_SIZES[symbol] > d + 1))
+        at, low, high, context, symbol = at[on], low[on], high[on], context[on], symbol[on]
+    return out
+
+
+def _worked_out(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     units = np.rint(np.clip(_logit(ones, zeros), -BOUND, BOUND) / UNIT).astype(np.int16)
     return units * np.int16(8) + _level(ones + zeros).astype(np.int16)
 
 
+def _value(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """What a cell of these counts holds; for small ones it is looked up."""
+    out = _VALUES[np.minimum(ones, 63) << 6 | np.minimum(zeros, 63)]
+    large = np.flatnonzero((ones | zeros) > 63)
+    out[large] = _worked_out(ones[large], zeros[large])
+    return out
+
+
 def _logit(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
 
@@ -333,6 +382,9 @@ def _level(n: np.ndarray) -> np.ndarray:
     return _LEVELS[np.minimum(n, SEEN[-1])]
 
 
+_VALUES = _worked_out(np.arange(64 * 64) >> 6, np.arange(64 * 64) & 63)
+
+
 def _mixed(d: int, logits: list[np.ndarray], levels: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gate and mixed logit of each row. levels: of the watched predictors."""
     gate = np.full(len(logits[0]), d, np.int64)
@@ -418,6 +470,11 @@ class Trainer:
             self.map[0] += np.bincount(cell, n * outcome, GATES * CELLS)
             self.map[1] += np.bincount(cell, n, GATES * CELLS)
 
+    def forget(self) -> None:
+        """Begins to count anew."""
+        self.counts = [np.zeros((2, 0), np.uint64) for _ in CONTEXTS]
+        self.bytes = 0
+
     def part(self) -> bytes:
         """The weights, times what they have seen, and the map."""
         return _pack(weights=self.weights * self.seen[:, None], seen=self.seen, map=self.map - _start()[1])
@@ -555,6 +612,8 @@ def _growing(texts: list[bytes], trainer: Trainer) -> Iterator[tuple[int, int]]:
     """Steps of training: each as long as what the trainer has learned from so far."""
     at = 0
     while at < len(texts):
+        if trainer.bytes >= LEARNED:
+            trainer.forget()
         most, upto, size = min(STEP, max(FIRST, trainer.bytes)), at + 1, len(texts[at])
         while upto < len(texts) and size + len(texts[upto]) <= most:
             size += len(texts[upto])
@@ -579,7 +638,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, Da
     and chunks with a list of bucket and cells."""
     found = _chunks(docs, learn, id_col, text_col)
     size = found.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    top = max(3, math.ceil(math.log2(max(1, size) / BUCKET)))  # bits of a key that say its bucket
+    tops = [max(3, math.ceil(math.log2(max(1, size) / BUCKET)) - less) for less in FEWER]  # bits of a key that say its bucket
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, trainer, words, ends = TaskContext.get().partitionId(), Trainer(), Counter(), 0
@@ -610,7 +669,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, Da
                     some, asked[k] = asked[k], []
                     keys, n = _totals([x for x, _ in some], [x for _, x in some])
                     del some
-                    of = (keys >> np.uint64(63 - top)).astype(np.int64)
+                    of = (keys >> np.uint64(63 - tops[k])).astype(np.int64)
                     for w in np.split(np.arange(len(keys)), np.flatnonzero(of[1:] != of[:-1]) + 1):
                         yield rows(1, bucket=[k << 24 | int(of[w[0]])], chunk=[name], body=[_planes(np.diff(keys[w], prepend=np.uint64(0)))], count=[_planes(n[w])])
         if words:
@@ -619,29 +678,40 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[Model, Da
             yield rows(1, n=[ends])
             yield rows(1, part=[part], body=[trainer.part()])
 
-    learned = materialize(found.select("chunk", "body").mapInArrow(frugal("lm_scoring", read), "part long, bucket int, chunk long, body binary, count binary, token binary, n long"), "learned", compression="zstd")
-    n_parts = (learned.agg(F.max("part")).first()[0] or 0) + 1
-    model = _model(learned.where("part IS NOT NULL").select("part", "body"), n_parts)
-    words = learned.where("n IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
+    learned = found.select("chunk", "body").mapInArrow(frugal("lm_scoring", read), "part long, bucket int, chunk long, body binary, count binary, token binary, n long")
+    learned = materialize(learned.withColumn("turn", F.coalesce(F.col("bucket") % ROUNDS, F.lit(-1))), "learned", compression="zstd", by=("turn", ROUNDS + 1))
+    others = learned.where("turn = -1")
+    n_parts = (others.agg(F.max("part")).first()[0] or 0) + 1
+    model = _model(others.where("part IS NOT NULL").select("part", "body"), n_parts)
+    words = others.where("n IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
     words = materialize(words, "words", compression="zstd")
+    discard(learned, "turn=-1")
     answered = []
     for k in range(ROUNDS):
-        some = learned.where(F.col("bucket") % ROUNDS == k).select("bucket", "chunk", "body", "count").groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, cells binary")
+        some = learned.where(F.col("turn") == k).select("bucket", "chunk", "body", "count").groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, cells binary")
         # a table, so that what was learned, and dealt to buckets, is gone before cells are dealt to chunks
         answered.append(materialize(some, "cells", compression="uncompressed"))
+        discard(learned, f"turn={k}")
     discard(learned)
     cells = reduce(DataFrame.unionAll, answered)
     cells = cells.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "cells")).alias("cells"))
-    return model, words, found.join(cells, "chunk").select("body", "cells")
+    return model, words, found.join(cells, "chunk").select("chunk", "body", "cells")
 
 
 def _answer(group: pa.Table) -> pa.Table:
     """Adds up the counts of a bucket's keys, and gives each chunk the cells of its own."""
     asked = [np.cumsum(_numbers(x.as_py(), np.uint64), dtype=np.uint64) for x in group.column("body")]
     keys, n = _totals(asked, [_numbers(x.as_py(), np.int64) for x in group.column("count")])
-    table = _cell(keys[n > 0], n[n > 0])
-    del keys, n
-    return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "cells": pa.array([_planes(_cells(table, x)) for x in asked], pa.binary())})
+    cells, starts = _cells(_cell(keys[n > 0], n[n > 0]), keys), _starts(keys)
+    del n
+    return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "cells": pa.array([_planes(_picked(cells, starts, np.searchsorted(keys, x))) for x in asked], pa.binary())})
+
+
+def _picked(cells: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The cells of some keys, one after the other. starts: where those of each key begin; and their number."""
+    sizes = starts[which + 1] - starts[which]
+    ends = np.cumsum(sizes)
+    return cells[np.repeat(starts[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _bits(model: Model, texts: list[bytes], answers: list[dict]) -> np.ndarray:
@@ -681,9 +751,9 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     held = docs.sparkSession.sparkContext.broadcast((model, {k: (n, math.log10(n + 1)) for k, n in hot.items() if k is not None}))  # sizes fixed by HOT and GATES
     end_score = math.log10(ends + 1) - whole
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix, known = held.value
-        base = TaskContext.get().partitionId() << 36
+        base = turn << 58 | TaskContext.get().partitionId() << 36
         row = 0
         for batch in batches:
             for at in range(batch.num_rows):
@@ -716,7 +786,12 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
 
     names = ["uid", "id", "held_out", "n_tokens", "n_known", "base_score", "bits", "n_bytes", "token", "n"]
     kind = docs.schema[id_col].dataType.simpleString()
-    done = materialize(chunked.mapInArrow(frugal("lm_scoring", read), f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long, token binary, n long"), "scored", compression="zstd")
+    names_and_types = f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long, token binary, n long"
+    done = []
+    for k in range(ROUNDS):
+        some = chunked.where(F.pmod(F.hash("chunk"), F.lit(ROUNDS)) == k).select("body", "cells")
+        done.append(materialize(some.mapInArrow(frugal("lm_scoring", partial(read, k)), names_and_types), "scored", compression="zstd"))
+    done = reduce(DataFrame.unionAll, done)
     discard(chunked)
     cold = done.where("token IS NOT NULL").select("uid", "token", "n").join(words.where("token IS NOT NULL").select("token", F.col("n").alias("c")), "token")
     late = cold.groupBy("uid").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_score"))
