@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 ENCODE_VECTOR = "id string, rule string, rationale string, source_file string, logical_value string, expected_hex string"
 REJECT_VECTOR = "id string, rule string, rationale string, input_hex string, expected_verdict string, expected_reason string"
+#: Characters after which a file of vectors ends.
+FILE_CHARS = 8_000_000
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -27,13 +30,58 @@ def read_implementations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, binary string, profiles array<string>").option("multiLine", True).json(path)
 
 
+def _objects(text: str, names: list[str]) -> list[list[str | None]]:
+    """Of each object of a JSON array (or the one object) these members: the text of what is no string as it stands."""
+    decode, blank, out = json.JSONDecoder().raw_decode, re.compile(r"[ \t\r\n]*"), []
+    skip = lambda at: blank.match(text, at).end()
+    at = skip(0)
+    many = text[at] == "["
+    at = skip(at + 1) if many else at
+    while text[at] != "]" or not many:
+        own: dict[str, str | None] = {}
+        value, end = decode(text, at)
+        if isinstance(value, dict):
+            at = skip(at + 1)
+            while text[at] != "}":
+                name, at = json.decoder.scanstring(text, at + 1)
+                begin = skip(skip(at) + 1)
+                value, at = decode(text, begin)
+                own[name] = value.encode("utf-8", "replace").decode() if isinstance(value, str) else None if value is None else text[begin:at]
+                at = skip(at)
+                at = skip(at + 1) if text[at] == "," else at
+        out.append([own.get(n) for n in names])
+        at = skip(end)
+        if not many:
+            break
+        at = skip(at + 1) if text[at] == "," else at
+    return out
+
+
+def _arrays(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Rows of files that hold a JSON array (or object) each; a file that is no JSON is a row of nulls. A file is read once: the reader
+    of multi-line JSON goes back to it for the exact text of each nested value, by some 10 kB each time."""
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                try:
+                    rows = _objects(text.as_py(), names)
+                except (ValueError, IndexError, RecursionError):
+                    rows = [[None] * len(names)]
+                for at in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + 10_000]], pa.string()) for k in range(len(names))], names=names)
+
+    return spark.read.text(paths, wholetext=True).where(F.trim("value") != "").mapInArrow(parse, schema)
+
+
 def read_vectors(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Encode vectors from files that hold a JSON array each; logical_value keeps its JSON text."""
-    return spark.read.schema(ENCODE_VECTOR).option("multiLine", True).json(paths)
+    return _arrays(spark, paths, ENCODE_VECTOR)
 
 
 def read_rejects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.schema(REJECT_VECTOR).option("multiLine", True).json(paths)
+    return _arrays(spark, paths, REJECT_VECTOR)
 
 
 def read_value_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -71,22 +119,30 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    """Files that hold a JSON array each, with logical_value (JSON text) as a nested value: what ``read_vectors`` reads."""
+    """Files that hold a JSON array each, with logical_value (JSON text) as a nested value: what ``read_vectors`` reads.
+    A file is read by one task, so an array ends once it has FILE_CHARS characters, and the next one gets a file of its own."""
     others = F.to_json(F.struct(*["`" + c.replace("`", "``") + "`" for c in vectors.columns if c != "logical_value"]))
     value = F.col("logical_value") if "logical_value" in vectors.columns else F.lit(None).cast("string")
     nested = F.concat(F.lit('{"logical_value":'), value, F.when(others == "{}", "}").otherwise(F.concat(F.lit(","), F.substr(others, F.lit(2)))))
+    most = FILE_CHARS
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = 0
+        held, size = [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(["[" + "\n,".join(held) + "\n]"])], names=["value"])
+
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            if texts:
-                yield pa.RecordBatch.from_arrays([pa.array([("," if lines + k else "[") + t for k, t in enumerate(texts)])], names=["value"])
-                lines += len(texts)
-        if lines:
-            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
-
-    vectors.select(F.coalesce(nested, others).alias("value")).mapInArrow(arrays, "value string").write.text(path)
+            for text in batch.column(0):
+                held.append(text.as_py())
+                size += len(held[-1])
+                if size >= most:
+                    yield row()
+                    held, size = [], 0
+        if held:
+            yield row()
+
+    vectors.select(F.coalesce(nested, others).alias("value")).mapInArrow(arrays, "value string").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def render_dashboard(overall: list, by_rule: list) -> str:
